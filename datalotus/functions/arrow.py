@@ -15,8 +15,8 @@ def unicode_form(c: Column, form: str = "NFC") -> Column:
 
     @F.pandas_udf("string")
     def normal(values: pd.Series) -> pd.Series:
-        known = {v: unicodedata.normalize(form, v) for v in values.dropna().unique()}
-        return values.map(known)
+        known = {v: unicodedata.normalize(form, v) for v in set(values.dropna())}
+        return pd.Series([known.get(v) if isinstance(v, str) else None for v in values], dtype=object)
 
     return normal(c)
 

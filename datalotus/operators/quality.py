@@ -43,7 +43,7 @@ def column_checks(df: DataFrame, name: str, *, thai: bool = True) -> list[Column
     c, kind = F.col(f"`{name}`"), df.schema[name].dataType
     rows, held = F.count(F.lit(1)), F.count(c)
     lost = rows - held
-    share = lost / rows
+    share = F.try_divide(lost, rows)
     severity = F.when(share >= 0.5, "critical").when(share > 0.05, "warning").otherwise("info")
     out = [
         _issue("missing", severity, name, lost, rows, (share >= 0.01) & (held > 0)),
@@ -89,8 +89,8 @@ def findings(df: DataFrame, columns: list[str] | None = None, *, thai: bool = Tr
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows that have an equal (all of them), rows beyond the first, and groups."""
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in columns or df.columns]).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_groups"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("beyond_first"), F.count(F.lit(1)).alias("groups"))
+    groups = df.groupBy(*[F.col(f"`{c}`") for c in columns or df.columns]).agg(F.count(F.lit(1)).alias("__rows")).select("__rows").where("__rows > 1")
+    return groups.agg(F.coalesce(F.sum("__rows"), F.lit(0)).alias("in_groups"), F.coalesce(F.sum(F.col("__rows") - 1), F.lit(0)).alias("beyond_first"), F.count(F.lit(1)).alias("groups"))
 
 
 def overview(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 FORMATS = {".csv": "csv", ".tsv": "tsv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet", ".orc": "orc", ".xlsx": "excel", ".xls": "excel"}
 ENCODINGS = ("utf-8", "tis-620", "cp874", "cp1252")
 _ALIASES = {"ascii": "utf-8", "iso-8859-11": "tis-620", "windows-874": "cp874", "utf-8-sig": "utf-8"}
+_JAVA = {"cp874": "x-windows-874", "cp1252": "windows-1252", "tis-620": "TIS-620"}
 MISSING = ("", "?", "NA", "N/A", "na", "null", "None")
 _HEAD = 1 << 16
 
@@ -78,7 +79,9 @@ def read_data(spark: SparkSession, path: str, format: str = "auto", encoding: st
     if kind in ("csv", "tsv"):
         code = detect_encoding(path) if encoding == "auto" else normalize_encoding(encoding)
         sep, header = sniff_csv(path, code)
-        reader = spark.read.option("sep", "\t" if kind == "tsv" else sep).option("header", header).option("encoding", {"cp874": "x-windows-874"}.get(code, code)).option("inferSchema", infer).option("nullValue", "" if header else "?").option("multiLine", True).option("escape", '"')
+        if code not in ("utf-8", "iso-8859-1"):
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark refuses other charsets otherwise
+        reader = spark.read.option("sep", "\t" if kind == "tsv" else sep).option("header", header).option("encoding", _JAVA.get(code, code)).option("inferSchema", infer).option("nullValue", "" if header else "?").option("multiLine", True).option("escape", '"')
         df = reader.csv(path)
         df = df.toDF(*[c.lstrip("﻿") for c in df.columns]) if header else df.toDF(*[f"col_{i}" for i in range(len(df.columns) - 1)], "target")
     elif kind == "jsonl":
