@@ -42,11 +42,11 @@ def held_out(id_col: Column) -> Column:
 
 
 class Model:
-    """Log frequencies by word and by n-gram; plain data, so that it can be sent."""
+    """Log frequencies by word and by n-gram: dictionaries from key to the row of one
+    matrix. Plain data, so that it can be sent to the tasks."""
 
     def __init__(self, counts: dict[str, dict[str, int]]) -> None:
         self.langs = sorted(counts)
-        self.words = self._table([counts[lang] for lang in self.langs])
         grams: list[list[Counter]] = [[Counter() for _ in self.langs] for _ in range(NGRAM)]
         for i, lang in enumerate(self.langs):
             for word, n in counts[lang].items():
@@ -54,56 +54,93 @@ class Model:
                 for size in range(1, NGRAM + 1):
                     for at in range(len(w) - size + 1):
                         grams[size - 1][i][w[at : at + size]] += n
-        self.grams = [self._table(g) for g in grams]
+        rows: list[np.ndarray] = [np.zeros((1, len(self.langs)), np.float32)]
+        self.words = self._table([counts[lang] for lang in self.langs], rows)
+        self.grams = [self._table(g, rows) for g in grams]
+        self.rows = np.concatenate(rows)
 
     @staticmethod
-    def _table(counts: list[dict[str, int]]) -> dict[str, np.ndarray]:
-        totals = np.array([sum(c.values()) for c in counts], float)
-        size = len(set().union(*counts)) if counts else 0
-        out: dict[str, np.ndarray] = {}
+    def _table(counts: list[dict[str, int]], rows: list[np.ndarray]) -> dict[str, int]:
+        start = sum(len(r) for r in rows)
+        keys = {k: i for i, k in enumerate(dict.fromkeys(k for c in counts for k in c))}
+        table = np.zeros((len(keys), len(counts)), np.float32)
         for i, c in enumerate(counts):
-            for key, n in c.items():
-                out.setdefault(key, np.zeros(len(counts), np.float32))[i] = n
-        base = np.log(totals + 0.5 * size + 1)
-        return {k: (np.log(v + 0.5) - base).astype(np.float32) for k, v in out.items()}
-
-    def word(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+            for k, n in c.items():
+                table[keys[k], i] = n
+        total = table.sum(axis=0, dtype=float)
+        rows.append((np.log(table + 0.5) - np.log(total + 0.5 * len(keys) + 1)).astype(np.float32))
+        return {k: start + i for k, i in keys.items()}
+
+    def parts(self, word: str) -> list[int]:
+        """Rows whose mean is the word's score: the word's own, or those of its known
+        n-grams of the longest length that has any."""
+        at = self.words.get(word)
+        if at is not None:
+            return [at]
         w = f"<{word}>"
         for size in range(NGRAM, 0, -1):
-            table = self.grams[size - 1]
-            known = [table[g] for at in range(len(w) - size + 1) if (g := w[at : at + size]) in table]
+            get = self.grams[size - 1].get
+            known = [r for i in range(len(w) - size + 1) if (r := get(w[i : i + size])) is not None]
             if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.langs), np.float32)
+                return known
+        return [0]
 
 
-class _Tokens(dict):
-    """Rows of a growing matrix: summed scores and number of words of a token."""
+class _Tokens:
+    """Scores of tokens seen by this worker: a bounded table from token to the row of
+    a matrix with the summed scores and the number of words."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__()
-        self.model, self.rows = model, np.zeros((CACHE, len(model.langs) + 1), np.float32)
-
-    def __missing__(self, token: str) -> int:
-        at = len(self)
-        runs = _LETTERS.findall(token.lower())
-        if runs:
-            self.rows[at, :-1] = np.sum([self.model.word(w) for w in runs], axis=0)
-        self.rows[at, -1] = len(runs)
-        self[token] = at
-        return at
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        tokens = (text or "").split()
+        self.model, self.rows, self.at = model, np.zeros((CACHE, len(model.langs) + 1), np.float32), {}
+
+    def learn(self, tokens: set[str]) -> None:
+        """Score new tokens, all in one pass over the model's matrix."""
+        new = [t for t in tokens if t not in self.at]
+        if len(self.at) + len(new) > CACHE:
+            self.at.clear()
+            new = list(tokens)
+        parts: list[int] = []
+        starts, owner, runs = [], [], np.zeros(len(new), np.float32)
+        for i, token in enumerate(new):
+            found = (token.lower(),) if token.isalpha() else _LETTERS.findall(token.lower())
+            runs[i] = len(found)
+            for word in found:
+                starts.append(len(parts))
+                owner.append(i)
+                parts += self.model.parts(word)
+        base = len(self.at)
+        self.at.update((t, base + i) for i, t in enumerate(new))
+        here = self.rows[base : base + len(new)]
+        here[:] = 0
+        here[:, -1] = runs
+        if parts:
+            sums = np.add.reduceat(self.model.rows[parts], starts, axis=0)
+            sizes = np.diff(np.append(starts, len(parts)))[:, None]
+            np.add.at(here[:, :-1], owner, sums / sizes)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        out: list[tuple[str, float]] = []
+        split = [(t or "").split() for t in texts]
+        start = 0
+        while start < len(split):  # as many documents at once as the table holds with ease
+            end, size = start + 1, len(split[start])
+            while end < len(split) and size + len(split[end]) <= CACHE // 4:
+                size += len(split[end])
+                end += 1
+            few = size <= CACHE // 2
+            if few:
+                self.learn(set().union(*split[start:end]))
+            out += [self._one(tokens, few) for tokens in split[start:end]]
+            start = end
+        return out
+
+    def _one(self, tokens: list[str], known: bool) -> tuple[str, float]:
         sums = np.zeros(self.rows.shape[1])
-        for at in range(0, len(tokens), CACHE // 2):
-            part = tokens[at : at + CACHE // 2]
-            if len(self) + len(part) > CACHE:
-                self.clear()
-            sums += self.rows[list(map(self.__getitem__, part))].sum(axis=0, dtype=float)
+        for i in range(0, len(tokens), CACHE // 2):
+            part = tokens[i : i + CACHE // 2]
+            if not known:
+                self.learn(set(part))
+            sums += self.rows[list(map(self.at.__getitem__, part))].sum(axis=0, dtype=float)
         n, langs = sums[-1], self.model.langs
         if not n or not langs:
             return "und", 0.0
@@ -142,7 +179,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(sent.value)
         for batch in batches:
-            out = [tokens.predict(t) for t in batch.column(at).to_pylist()]
+            out = tokens.predict(batch.column(at).to_pylist())
             new = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
