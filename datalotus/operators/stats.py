@@ -87,6 +87,29 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*pairs).alias("all")).select(F.inline("all"))
 
 
+SLICES = 64
+
+
+def running_totals(rows: DataFrame, order: str, sums: Sequence[str]) -> DataFrame:
+    """`rows` (distinct in the numeric `order`) with `<name>_upto`, the totals of
+    `sums` up to each row, and `<name>_all`, without a one-task sort.
+
+    Approximate quantiles cut the order into SLICES ranges; range totals are
+    accumulated over SLICES rows, and each range is sorted in a task of its own.
+    Where the cuts lie doesn't change the totals.
+    """
+    cut = [i / SLICES for i in range(1, SLICES)]
+    bounds = rows.agg(F.percentile_approx(order, cut, 10_000).alias("__bounds")).first()[0] or []
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(order))) if bounds else F.lit(0)
+    sliced = rows.withColumn("__slice", at)
+    per = sliced.groupBy("__slice").agg(*[F.sum(c).alias(f"__{c}") for c in sums])  # at most SLICES rows
+    before, every = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    per = per.select("__slice", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}_before") for c in sums], *[F.sum(f"__{c}").over(every).alias(f"{c}_all") for c in sums])
+    inside = Window.partitionBy("__slice").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = sliced.join(F.broadcast(per), "__slice")  # at most SLICES rows
+    return both.withColumns({f"{c}_upto": F.col(f"__{c}_before") + F.sum(c).over(inside) for c in sums}).drop("__slice", *[f"__{c}_before" for c in sums])
+
+
 def average_rank(c: str, *partition: str) -> Column:
     """Rank with ties averaged."""
     by = Window.partitionBy(*partition)
@@ -94,11 +117,10 @@ def average_rank(c: str, *partition: str) -> Column:
 
 
 def ranks(df: DataFrame, column: str) -> DataFrame:
-    """value, rank (ties averaged) of the column's distinct values, from counts; the
-    ordered window runs over distinct values only."""
+    """value, rank (ties averaged) of the column's distinct values, from counts."""
     counts = df.where(F.col(f"`{column}`").isNotNull()).groupBy(F.col(f"`{column}`").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("value", (before + (F.col("n") + 1) / 2).alias("rank"))
+    totals = running_totals(counts, "value", ["n"])
+    return totals.select("value", (F.col("n_upto") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -184,8 +206,8 @@ def ks_drift(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance over distinct values' counts."""
     side = lambda d, x, y: d.where(F.col(f"`{column}`").isNotNull()).select(F.col(f"`{column}`").cast("double").alias("v"), F.lit(x).alias("x"), F.lit(y).alias("y"))
     counts = side(a, 1, 0).unionByName(side(b, 0, 1)).groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    up, every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = counts.select(F.abs(F.sum("x").over(up) / F.sum("x").over(every) - F.sum("y").over(up) / F.sum("y").over(every)).alias("d"))
+    t = running_totals(counts, "v", ["x", "y"])
+    gap = t.select(F.abs(F.col("x_upto") / F.col("x_all") - F.col("y_upto") / F.col("y_all")).alias("d"))
     return gap.agg(F.max("d").alias("d")).withColumn("drift", F.col("d") > 0.10)
 
 
@@ -288,8 +310,7 @@ def fit_distributions(df: DataFrame, column: str) -> list[dict]:
     if m.lo > 0 and m.lstd:
         cdf["lognormal"] = logistic((F.log("v") - m.lmean) / m.lstd)
     counts = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    up = F.sum("c").over(Window.orderBy("v"))
-    e = counts.withColumn("hi", up / m.n).withColumn("lo", F.col("hi") - F.col("c") / m.n)
+    e = running_totals(counts, "v", ["c"]).withColumn("hi", F.col("c_upto") / m.n).withColumn("lo", F.col("hi") - F.col("c") / m.n)
     d = e.agg(*[F.max(F.greatest(F.abs(F.col("hi") - x), F.abs(x - F.col("lo")))).alias(k) for k, x in cdf.items()]).first()
     root = math.sqrt(m.n)
     p = lambda x: min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * (k * x * (root + 0.12 + 0.11 / root)) ** 2) for k in range(1, 50))))
