@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datalotus.functions import text as X
-from datalotus.operators import anomaly, charts, clean, corpus, detect, insight, privacy, quality, relate, stats, timeseries
+from datalotus.operators import advice, anomaly, charts, clean, corpus, detect, insight, privacy, quality, relate, stats, timeseries
 from datalotus.streaming import counters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -596,3 +596,71 @@ def q_chart_qq(spark, sf):
 def q_stream_counters(spark, sf):
     e = read(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 9 != 0, F.col("value")))
     return counters.windowed_quality(e, "ts", ["value"]).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "rows", "value_missing")
+
+
+# --- single checks, rules and targets -------------------------------------------
+def _single(check: str, column: str) -> None:
+    def one(spark, sf):
+        return quality.findings(contacts(spark, sf).select(column)).where(F.col("check_name") == check)
+
+    QUERIES[f"q_check_{check}"] = one
+    SQL[f"q_check_{check}"] = f"SELECT * FROM ({SQL['q_quality_findings']}) WHERE check_name = '{check}' AND \"column\" = '{column}'"
+
+
+for _check, _column in (("missing", "citizen_id"), ("constant_column", "source"), ("zero_width", "name"), ("whitespace", "name"), ("thai_numerals", "points"), ("phone_format", "phone"), ("thai_id", "citizen_id"), ("buddhist_era", "join_year")):
+    _single(_check, _column)
+
+
+@query(" UNION ALL ".join(f"SELECT 'skewed' AS rule, '{c}' AS \"column\", round(skewness({c}), 4) AS value FROM lineitem HAVING abs(skewness({c})) > 1 UNION ALL SELECT 'heavy_tails', '{c}', round(kurtosis({c}), 4) FROM lineitem HAVING kurtosis({c}) > 7" for c in ("l_quantity", "l_extendedprice", "cube")).replace("FROM lineitem", "FROM (SELECT *, pow(l_quantity, 8) AS cube FROM lineitem)"))
+def q_shape(spark, sf):
+    return advice.shape(read(spark, sf, "lineitem").withColumn("cube", F.pow("l_quantity", F.lit(8))), ["l_quantity", "l_extendedprice", "cube"])
+
+
+@query("WITH d AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS a, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 701 = 0 THEN NULL ELSE o_totalprice END AS b, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 1 END AS c FROM orders) SELECT 'a' AS \"left\", 'b' AS \"right\", round(corr((a IS NULL)::INT, (b IS NULL)::INT), 6) AS r FROM d")
+def q_co_missing(spark, sf):
+    d = read(spark, sf, "orders").selectExpr("CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS a", "CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 701 = 0 THEN NULL ELSE o_totalprice END AS b", "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 1 END AS c")
+    return advice.co_missing(d, ["a", "b", "c"]).select("left", "right", F.round("r", 6).alias("r"))
+
+
+@query("WITH d AS (SELECT l_linenumber AS v FROM lineitem), s AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n FROM d) SELECT round(count(*) FILTER (v <= lo + (hi - lo) / 3.0) / count(*), 6) AS low, round(count(*) FILTER (v >= hi - (hi - lo) / 3.0) / count(*), 6) AS high, CASE WHEN count(*) FILTER (v >= hi - (hi - lo) / 3.0) >= 0.5 * count(*) THEN 'mostly_high' WHEN count(*) FILTER (v <= lo + (hi - lo) / 3.0) >= 0.5 * count(*) THEN 'mostly_low' WHEN count(*) FILTER (v <= lo + (hi - lo) / 3.0) >= 0.25 * count(*) AND count(*) FILTER (v >= hi - (hi - lo) / 3.0) >= 0.25 * count(*) AND count(*) FILTER (v <= lo + (hi - lo) / 3.0 OR v >= hi - (hi - lo) / 3.0) >= 0.6 * count(*) THEN 'polarised' ELSE 'spread' END AS verdict FROM d, s")
+def q_rating(spark, sf):
+    return advice.rating(read(spark, sf, "lineitem"), "l_linenumber")
+
+
+@query("SELECT 'c_name' AS \"column\", round(count(DISTINCT c_name) / count(*), 4) AS ratio FROM customer HAVING count(DISTINCT c_name) >= 0.9 * count(*)")
+def q_high_cardinality(spark, sf):
+    return advice.high_cardinality(read(spark, sf, "customer"), ["c_name", "c_mktsegment"])
+
+
+@query("WITH c AS " + sql_of(CONTACTS, "customer") + " SELECT 'outliers' AS rule, 'balance' AS \"column\", count(*)::DOUBLE AS value FROM c, (SELECT avg(balance) AS m, stddev_pop(balance) AS s FROM c) WHERE abs(balance - m) > 3 * s")
+def q_outlier_share(spark, sf):
+    return advice.outlier_share(contacts(spark, sf), ["balance"])
+
+
+@query("SELECT o_orderstatus AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM orders), 6) AS share FROM orders GROUP BY 1")
+def q_target_baseline(spark, sf):
+    return advice.target_baseline(read(spark, sf, "orders"), "o_orderstatus")
+
+
+@query("WITH r AS (SELECT l_returnflag AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS r FROM lineitem), g AS (SELECT g, count(*) AS n, sum(r) AS s FROM r GROUP BY 1), t AS (SELECT count(*) AS k, sum(n)::DOUBLE AS n, sum(s * s / n) AS q FROM g), u AS (SELECT sum(c::DOUBLE * c * c - c) AS ties FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity)) SELECT k AS groups, n::BIGINT AS n, round((12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (n * n * n - n)), 4) AS h FROM t, u")
+def q_kruskal(spark, sf):
+    return advice.kruskal(read(spark, sf, "lineitem"), "l_returnflag", "l_quantity").select("groups", "n", F.round("h", 4).alias("h"))
+
+
+@query("WITH d AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE CAST(o_custkey AS VARCHAR) END AS v FROM orders) SELECT 'numeric_text' AS rule, 'v' AS \"column\", round(count(*) FILTER (v <> 'x') / count(*), 4) AS value FROM d")
+def q_type_mismatch(spark, sf):
+    d = read(spark, sf, "orders").selectExpr("CASE WHEN o_orderkey % 10 = 0 THEN 'x' ELSE CAST(o_custkey AS STRING) END AS v", "o_orderstatus AS s")
+    return advice.type_mismatch(d, ["v", "s"])
+
+
+@query()
+def q_text_advice(spark, sf):
+    return advice.text_advice(read(spark, sf, "documents"), "text")
+
+
+@query()
+def q_target_association(spark, sf):
+    from datalotus.plans.profile import analyze_target
+
+    rows = [(r["feature"], r["test"], float(r["score"]), float(r["p"])) for r in analyze_target(read(spark, sf, "orders").select("o_totalprice", "o_orderstatus", "o_orderpriority", "o_custkey"), "o_totalprice")]
+    return spark.createDataFrame(rows, "feature string, test string, score double, p double")
