@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LABELLED, POOL, ROUNDS, SURE, ADD = 6000, 4000, 4, 0.97, 400
-TEXT_DIM, META_DIM, THRESHOLD = 1 << 13, 1 << 10, 0.5
+LABELLED, POOL, ROUNDS, SURE, ADD = 4000, 3000, 4, 0.97, 400
+TEXT_DIM, META_DIM, THRESHOLD = 1 << 12, 1 << 9, 0.5
 CACHE = 200_000
 _SHAPES = ((re.compile(r"[^\W\d_]*[a-zß-ÿ][^\W\d_]*"), "a"), (re.compile(r"[^\W\d_]+"), "A"), (re.compile(r"\d+"), "9"))
 
@@ -78,13 +78,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Full-batch Adam; deterministic."""
+    """Full-batch Adam; deterministic. Products stay in the matrix's own precision,
+    so that it isn't copied."""
     w, b = np.zeros(x.shape[1]), 0.0
     m = np.zeros(x.shape[1] + 1)
     v = np.zeros(x.shape[1] + 1)
     for t in range(1, steps + 1):
-        error = (_sigmoid(x @ w + b) - y) * weight / weight.sum()
-        g = np.append(x.T @ error + l2 * w, error.sum())
+        error = (_sigmoid(x @ w.astype(x.dtype) + b) - y) * weight / weight.sum()
+        g = np.append(x.T @ error.astype(x.dtype) + l2 * w, error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.3 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -131,11 +132,11 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pt: np.ndarray, pm:
             break
         for i in (0, 1):  # what view i is sure of goes to the other view
             w, b = fitted[i]
-            p = _sigmoid(pools[i] @ w + b)
+            p = _sigmoid(pools[i] @ w.astype(np.float32) + b)
             known = set(own[1 - i][0].tolist())
             sure = [j for j in np.argsort(-np.abs(p - 0.5), kind="stable")[: 4 * ADD].tolist() if max(p[j], 1 - p[j]) >= SURE and j not in known][:ADD]
             own[1 - i] = (np.append(own[1 - i][0], sure).astype(int), np.append(own[1 - i][1], (p[sure] >= 0.5).astype(float)))
-    raw = [views[i] @ fitted[i][0] + fitted[i][1] for i in (0, 1)]
+    raw = [views[i] @ fitted[i][0].astype(np.float32) + fitted[i][1] for i in (0, 1)]
     platt = [_logistic(r[fold][:, None], y[fold], np.ones(fold.sum()), 1e-4) for r in raw]
     blend = _logistic(np.stack([w[0] * r[fold] + b for r, (w, b) in zip(raw, platt, strict=True)], axis=1), y[fold], np.ones(fold.sum()), 1e-4)
     return Model(*fitted, platt, blend)
