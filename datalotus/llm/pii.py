@@ -132,7 +132,7 @@ def _hex_fill(shape: Column, source: Column) -> Column:
     """The same for hexadecimal strings, which stay hexadecimal."""
     n = F.length(shape)
     upper = shape.rlike("[A-F]")
-    text = F.substring(F.concat(source, F.reverse(source), source), F.lit(1), n)
+    text = F.substring(F.repeat(source, F.floor(n / F.lit(128)).cast("int") + 1), F.lit(1), n)
     return F.when(upper, F.upper(text)).otherwise(text)
 
 
