@@ -77,27 +77,33 @@ def _fits(a: Column, b: Column) -> Column:
     return (100 * F.least(a, b)) >= (THRESHOLD * F.greatest(a, b))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, label: str) -> DataFrame:
-    """Pairs (a, b) of classes that match at enough coordinates and, on their full
-    sets, reach the threshold."""
-    side = classes.select("cid", "n", "sig", "rid", "rth")
-    near = (
-        pairs.join(side.toDF("a", "na", "sa", "ra", "ta"), "a")
-        .join(side.toDF("b", "nb", "sb", "rb", "tb"), "b")
-        .where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda t: t)) >= MATCHES)
-        .select("a", "b", "na", "nb", "ra", "ta", "rb", "tb")
-    )
-    near = materialize(near, f"near-{label}")
-    wanted = near.select(F.col("ra").alias("id"), F.col("ta").alias("th")).union(near.select("rb", "tb")).distinct()
+def _matched(pairs: DataFrame, classes: DataFrame, label: str) -> DataFrame:
+    """(a, b, na, nb) of the pairs whose signatures agree at enough coordinates."""
+    side = classes.select("cid", "n", "sig")
+    both = pairs.join(side.toDF("a", "na", "sa"), "a").join(side.toDF("b", "nb", "sb"), "b")
+    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda t: t))
+    return materialize(both.where(agree >= MATCHES).select("a", "b", "na", "nb"), f"near-{label}")
+
+
+def _sets(pairs: DataFrame, have: DataFrame | None, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, s): the full sets of the classes in `pairs`, read from one document of
+    each class; those in `have` aren't read again."""
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
+    if have is not None:
+        wanted = wanted.join(have.select("cid"), "cid", "left_anti")
+    none = F.lit(-(1 << 62))  # stands for a missing id
+    wanted = wanted.join(classes, "cid").select("cid", F.coalesce("rid", none).alias("id"), F.col("rth").alias("th"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    # th spreads rows of a hot or missing id; a null id is matched by th and filled below
-    sets = texts.withColumn("id", F.coalesce("id", F.lit(-(1 << 62)))).join(wanted.withColumn("id", F.coalesce("id", F.lit(-(1 << 62)))).select("id", "th"), ["id", "th"], "left_semi")
-    sets = materialize(sets.dropDuplicates(["id", "th"]).select("id", "th", shingles(F.col("t")).alias("s")), f"sets-{label}")
-    near = near.withColumns({"ra": F.coalesce("ra", F.lit(-(1 << 62))), "rb": F.coalesce("rb", F.lit(-(1 << 62)))})
-    both = near.join(sets.toDF("ra", "ta", "wa"), ["ra", "ta"]).join(sets.toDF("rb", "tb", "wb"), ["rb", "tb"])
-    common = F.size(F.array_intersect("wa", "wb"))
-    return both.withColumn("i", common).where((100 * F.col("i")) >= (THRESHOLD * (F.col("na") + F.col("nb") - F.col("i")))).select("a", "b")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
+    read = texts.join(wanted, ["id", "th"]).dropDuplicates(["id", "th"]).select("cid", shingles(F.col("t")).alias("s"))
+    read = materialize(read, "sets")
+    return read if have is None else have.union(read)
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that reach the threshold on their full sets."""
+    both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b").withColumn("i", F.size(F.array_intersect("wa", "wb")))
+    return both.where((100 * F.col("i")) >= (THRESHOLD * (F.col("na") + F.col("nb") - F.col("i")))).select("a", "b")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -117,38 +123,50 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    signed = materialize(signatures(docs, id_col, text_col).withColumn("cid", F.concat(F.hex("x1"), F.lit("-"), F.hex("x2"))), "signatures")
+    signed = materialize(signatures(docs, id_col, text_col), "signatures")
     rep = F.min(F.struct(F.col("id").isNull(), "id", "th"))
-    classes = signed.where("n > 0").groupBy("cid", "n").agg(rep.alias("r"), F.first("sig").alias("sig")).select("cid", "n", "sig", F.col("r.id").alias("rid"), F.col("r.th").alias("rth"))
-    classes = materialize(classes, "classes")
-
-    posted = classes.select("cid", "n", F.posexplode(F.slice("sig", 1, COORDS - MATCHES + 1)).alias("c", "v")).withColumn("band", _band(F.col("n")))
+    classes = signed.where("n > 0").groupBy("n", "x1", "x2").agg(rep.alias("r"), F.first("sig").alias("sig"))
+    # written once, so the numbers hold; they are shorter than the fingerprints
+    classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "n", "x1", "x2", "sig", F.col("r.id").alias("rid"), F.col("r.th").alias("rth")), "classes")
+
+    # lists are named by a hash of coordinate and value; a clash only adds candidates
+    posted = classes.select("cid", "n", F.posexplode(F.slice("sig", 1, COORDS - MATCHES + 1)).alias("c", "v")).select("cid", "n", F.xxhash64("c", "v").alias("key"))
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("len")).where("len > 1").select("key")
+    met = posted.join(shared, "key", "left_semi").withColumn("band", _band(F.col("n")))
     # an entry stands in its own band and visits the next one; pairs of two visitors aren't made
-    entries = posted.select("c", "v", F.col("cid"), "n", F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("e")).select("c", "v", "e.band", "e.home", "cid", "n")
-    groups = entries.groupBy("c", "v", "band").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct(~F.col("home"), "cid", "n")).alias("head"), F.bool_or("home").alias("any_home")).where("len > 1 and any_home")
-    lists = materialize(entries.join(groups, ["c", "v", "band"]).select("c", "v", "band", "home", "cid", "n", "len", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")), "lists")
+    stands = F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))
+    entries = met.select(F.explode(stands).alias("e"), "key", "cid", "n").select(F.xxhash64("key", "e.band").alias("list"), "e.home", "cid", "n")
+    groups = entries.groupBy("list").agg(F.count(F.lit(1)).alias("len"), F.min(F.struct(~F.col("home"), "cid", "n")).alias("head"), F.bool_or("home").alias("any_home")).where("len > 1 and any_home")
+    lists = materialize(entries.join(groups, "list").select("list", "home", "cid", "n", "len", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")), "lists")
 
     stars = lists.where((F.col("cid") != F.col("head")) & _fits(F.col("n"), F.col("head_n")))
-    links = materialize(_confirm(stars.select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct(), classes, docs, id_col, text_col, "star"), "links")
+    first = _matched(stars.select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct(), classes, "star")
+    sets = _sets(first, None, classes, docs, id_col, text_col)
+    links = materialize(_confirm(first, sets), "links")
     roots = components(links, "star")
 
     # second pass: entries of a list in different components
     mine = lists.drop("head", "head_n").join(roots.toDF("cid", "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    by_root = mine.groupBy("c", "v", "band", "root").agg(F.count(F.lit(1)).alias("m"))
-    mixed = by_root.groupBy("c", "v", "band").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1").drop("roots")
+    by_root = mine.groupBy("list", "root").agg(F.count(F.lit(1)).alias("m"))
+    mixed = by_root.groupBy("list").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("m", "root")).alias("main")).where("roots > 1").drop("roots")
     # a pair of two components has an entry outside the list's main component; such
     # entries meet the list's entries, which are cut into blocks by a hash
-    open_lists = mine.join(mixed, ["c", "v", "band"]).withColumn("k", F.ceil(F.col("len") / F.lit(BLOCK)).cast("int"))
-    left = open_lists.where("root != main").select("c", "v", "band", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("qa"), F.col("home").alias("ha"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p"))
-    right = open_lists.select("c", "v", "band", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("qb"), F.col("home").alias("hb"), "main", F.pmod(F.xxhash64("cid"), F.col("k").cast("long")).cast("int").alias("p"))
-    met = left.join(right, ["c", "v", "band", "p"]).where((F.col("qa") != F.col("qb")) & _fits(F.col("na"), F.col("nb")) & (F.col("ha") | F.col("hb")) & ((F.col("qb") == F.col("main")) | (F.col("a") < F.col("b"))))
-    rest = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(_confirm(rest, classes, docs, id_col, text_col, "rest"), "links")
-    roots = components(links.union(more), "all")
-
-    found = signed.join(roots.toDF("cid", "root"), "cid", "left").select("id", "n", "copies", F.when(F.col("n") > 0, F.coalesce("root", "cid")).alias("g"))
-    smallest = found.where("g is not null").groupBy("g").agg(F.min("id").alias("least"))
-    linked = found.where("g is not null").join(smallest, "g").select("id", "n", "copies", "least").union(found.where("g is null").select("id", "n", "copies", F.col("id").alias("least")))
+    open_lists = mine.join(mixed, "list").withColumn("k", F.ceil(F.col("len") / F.lit(BLOCK)).cast("int"))
+    left = open_lists.where("root != main").select("list", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("root").alias("qa"), F.col("home").alias("ha"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("p"))
+    right = open_lists.select("list", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("root").alias("qb"), F.col("home").alias("hb"), "main", F.pmod(F.xxhash64("cid"), F.col("k").cast("long")).cast("int").alias("p"))
+    pairs = left.join(right, ["list", "p"]).where((F.col("qa") != F.col("qb")) & _fits(F.col("na"), F.col("nb")) & (F.col("ha") | F.col("hb")) & ((F.col("qb") == F.col("main")) | (F.col("a") < F.col("b"))))
+    rest = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # pairs that the first pass looked at failed there
+    second = _matched(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), classes, "rest")
+    if not second.isEmpty():
+        more = materialize(_confirm(second, _sets(second, sets, classes, docs, id_col, text_col)), "links")
+        if not more.isEmpty():
+            roots = components(links.union(more), "all")
+
+    known = classes.select("cid", "n", "x1", "x2").join(roots.toDF("cid", "root"), "cid", "left").select("n", "x1", "x2", F.coalesce("root", "cid").alias("g"))
+    found = signed.where("n > 0").select("id", "n", "copies", "x1", "x2").join(known, ["n", "x1", "x2"]).select("id", "n", "copies", "g")
+    smallest = found.groupBy("g").agg(F.min("id").alias("least"))
+    linked = found.join(smallest, "g").select("id", "n", "copies", "least").union(signed.where("n = 0").select("id", "n", "copies", F.col("id").alias("least")))
     rows = linked.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("_"))
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
