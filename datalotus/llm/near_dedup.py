@@ -122,7 +122,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash (xxhash64
+    of the text, which tells rows with one id apart)."""
     signed = materialize(signatures(docs, id_col, text_col), "signatures")
     rep = F.min(F.struct(F.col("id").isNull(), "id", "th"))
     classes = signed.where("n > 0").groupBy("n", "x1", "x2").agg(rep.alias("r"), F.first("sig").alias("sig"))
@@ -164,14 +165,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             roots = components(links.union(more), "all")
 
     known = classes.select("cid", "n", "x1", "x2").join(roots.toDF("cid", "root"), "cid", "left").select("n", "x1", "x2", F.coalesce("root", "cid").alias("g"))
-    found = signed.where("n > 0").select("id", "n", "copies", "x1", "x2").join(known, ["n", "x1", "x2"]).select("id", "n", "copies", "g")
+    found = signed.where("n > 0").select("id", "th", "n", "copies", "x1", "x2").join(known, ["n", "x1", "x2"]).select("id", "th", "n", "copies", "g")
     smallest = found.groupBy("g").agg(F.min("id").alias("least"))
-    linked = found.join(smallest, "g").select("id", "n", "copies", "least").union(signed.where("n = 0").select("id", "n", "copies", F.col("id").alias("least")))
-    rows = linked.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("_"))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    linked = found.join(smallest, "g").select("id", "th", "n", "copies", "least").union(signed.where("n = 0").select("id", "th", "n", "copies", F.col("id").alias("least")))
+    rows = linked.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("least").alias("component_id"), F.col("th").alias("text_hash"), F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)))).alias("_"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "text_hash")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each group, all columns."""
-    drop = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__near_id")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("__near_id"), "left_anti")
+    """`docs` with one document of each group, all columns. Rows are told apart by id
+    and text, so one that shares its id with a dropped row stays."""
+    drop = near_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__near_id"), F.col("text_hash").alias("__near_th")).distinct()
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__near_id")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("__near_th"))
+    return docs.join(drop, same, "left_anti")

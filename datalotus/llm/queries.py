@@ -49,7 +49,7 @@ def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(read(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

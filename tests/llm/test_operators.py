@@ -81,6 +81,11 @@ def test_near_odd_texts(spark):
     assert near_dedup.near_groups(frame(spark, [])).count() == 0
 
 
+def test_near_dedup_tells_rows_with_one_id_apart(spark):
+    rows = near_dedup.dedup(frame(spark, ["a b c d e f", "a b c d e f", "other words", "a b c d e f"], ids=[1, 2, 2, None])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in rows) == [(1, "a b c d e f"), (2, "other words")]
+
+
 def test_near_second_pass_links_without_head(spark, monkeypatch):
     """Near copies of near copies, where the list's head isn't similar enough."""
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
