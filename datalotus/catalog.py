@@ -632,7 +632,7 @@ def q_high_cardinality(spark, sf):
     return advice.high_cardinality(read(spark, sf, "customer"), ["c_name", "c_mktsegment"])
 
 
-@query("WITH c AS " + sql_of(CONTACTS, "customer") + " SELECT 'outliers' AS rule, 'balance' AS \"column\", count(*)::DOUBLE AS value FROM c, (SELECT avg(balance) AS m, stddev_pop(balance) AS s FROM c) WHERE abs(balance - m) > 3 * s")
+@query("WITH c AS " + sql_of(CONTACTS, "customer") + " SELECT 'outliers' AS rule, 'balance' AS \"column\", count(*)::DOUBLE AS value FROM c, (SELECT avg(balance) AS m, stddev_pop(balance) AS s FROM c) WHERE abs(balance - m) > 3 * s HAVING count(*) >= 5 OR (count(*) > 0 AND count(*) >= 0.01 * (SELECT count(balance) FROM c))")
 def q_outlier_share(spark, sf):
     return advice.outlier_share(contacts(spark, sf), ["balance"])
 
