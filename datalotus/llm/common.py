@@ -38,14 +38,31 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+_MADE: list[tuple[str, str]] = []
+
+
+def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends there, and
-    a lost executor costs only the tasks that read it."""
+    a lost executor costs only the tasks that read it. `release` deletes it unless
+    `keep` is set."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    if not keep:
+        _MADE.append((df.sparkSession.sparkContext.applicationId, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete the tables `materialize` wrote in this application. Only for callers
+    whose results are all written elsewhere."""
+    app = spark.sparkContext.applicationId
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for entry in [e for e in _MADE if e[0] == app]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
+        path.getFileSystem(conf).delete(path, True)
+        _MADE.remove(entry)
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     ascii_only = F.octet_length(text) == F.char_length(text)
