@@ -1,7 +1,8 @@
 """A corpus pipeline: language ID, exact dedup, near dedup, mixing, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
-Parquet and read back as the next stage's docs.
+Parquet and read back as the next stage's docs. A stage therefore begins by
+deleting the intermediate tables of the stages before it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datalotus.llm import bpe_codec, exact_dedup, language_id, mixing, near_dedup
-from datalotus.llm.common import materialize
+from datalotus.llm.common import materialize, release
 from datalotus.session import ship
 
 #: A document goes if its text has no letter or its language is this uncertain.
@@ -19,25 +20,30 @@ LEAST_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     ship(spark)
     done = language_id.predict(docs, language_id.fit(docs))
     return done.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     ship(spark)
     return exact_dedup.dedup(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return near_dedup.dedup(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    release(spark)
     ship(spark)
     return bpe_codec.digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -51,5 +57,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
