@@ -280,6 +280,38 @@ def test_surrogates(spark):
     assert pii.pseudonymise(frame(spark, [])).count() == 0
 
 
+def _found_alone(spark, cases):
+    """Each case is one document's only entity and is found whole, with its kind."""
+    texts = [f"use {c} now" for _, c in cases]
+    rows = {r.doc_id: r for r in pii.pseudonymise(frame(spark, texts)).collect()}
+    for i, (kind, mention) in enumerate(cases):
+        assert [(e.kind, e.mention) for e in rows[i].entities] == [(kind, mention)], (mention, rows[i])
+        assert rows[i].text != texts[i] and rows[i].n_entities == 1
+    return [rows[i].text[4:-4] for i in range(len(cases))]
+
+
+def test_each_alternative_alone(spark):
+    _found_alone(
+        spark,
+        [
+            *[("secret", f"{k}=Qwhjklmnop") for k in ("password", "PassWd", "pwd", "token", "SECRET", "api_key", "apikey", "access-key")],
+            *[("secret", f"{k}ABCDEFGHIJKLMNOP") for k in ("AKIA", "ASIA")],
+            *[("secret", x) for x in ("ghp_AbCdEfGhIjKlMnOpQrStUvWx", "gho_AbCdEfGhIjKlMnOpQrStUvWx", "sk-abcdefghijklmnopqrstuvwx", "pk_abcdefghijklmnopqrstuvwx", "ab" * 16)],
+            ("email", "jo@corp.org"),
+            ("iban", "GB82 WEST AB34 CD56 EF78 12"),
+            ("ip", "1.2.3.4"),
+            ("ip", "a:b:c:d:e:f:a:b"),
+            ("ssn", "123-45-6789"),
+            ("card", "4111 1111 1111 1111"),
+            ("phone", "+33 12 34 56 78"),
+            ("phone", "743-555-3824"),
+            *[("person", f"{t} {n}") for t in ("Mr", "Mrs.", "Ms", "Miss", "Herr", "Frau", "Señora", "Señor", "Sra", "Sr.", "Madame", "Monsieur", "Mme") for n in ("Berg",)],
+            *[("person", f"{t} Παππά") for t in ("κ.", "Κα")],
+            *[("person", f"{t} Орлов") for t in ("Г-н", "Г-жа")],
+        ],
+    )
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With very few surrogates, collisions are derived again."""
     monkeypatch.setattr(pii, "_stream", lambda kind, canon, attempt, key: F.rpad(F.lpad(F.hex(F.pmod(F.xxhash64(canon, attempt), F.lit(40))), 16, "0"), 128, "7"))
