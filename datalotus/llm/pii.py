@@ -1,9 +1,13 @@
 """PII: surrogate generation (DataFrame only).
 
 Entities are found by one alternation of patterns: secrets (keyword and value,
-key ids, long hex), e-mail addresses, IPv4 and IPv6 addresses, IBANs, card
-numbers, phone numbers, social security numbers, and persons (a title and one to
-three capitalised names, in Latin, Greek or Cyrillic script).
+key ids, long hex), e-mail addresses, IPv4 and IPv6 addresses (in full, compressed
+or with an IPv4 tail), IBANs (11 to 30 characters after the check digits), card
+numbers (15 and 16 digits in fours or 4-6-5, 14 digits grouped 4-6-4), phone
+numbers (with a country code and groups of one to four digits, or 3-3-4), social
+security numbers, and persons (a title and one to three capitalised names, in
+Latin, Greek or Cyrillic script). Not found: cards of 13 or 17 to 19 digits, and
+phones without a country code in groups other than 3-3-4.
 
 Each entity gets a replacement derived from a keyed hash of its type and canonical
 form (case, separators and country marks folded), so that all mentions of one
@@ -34,14 +38,26 @@ from datalotus.llm.common import materialize
 KEY = "surrogate-key-1"
 _NAME = r"(?:\p{Lu}[\p{L}'’-]+)"
 _TITLES = "(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señora|Señor|Sra|Sr|Madame|Monsieur|Mme|κ|Κα|Г-н|Г-жа)"
+_H = "[0-9a-fA-F]{1,4}"
+#: Compressed addresses: with an IPv4 tail, then by the place of the double colon.
+#: Nothing like C++ names: no letter, digit or other double colon beside them, and
+#: a digit where only the double colon ends them.
+_IPV6 = (
+    rf"(?<![0-9A-Za-z_]|::)(?:(?:(?:{_H}:){{6}}|(?:(?:{_H}:){{1,5}}|:):(?:{_H}:){{0,4}})(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}"
+    + "".join(f"|(?:{_H}:){{1,{7 - n}}}(?::{_H}){{1,{n}}}" for n in range(1, 7))
+    + rf"|(?<!:):(?::{_H}){{1,7}}|(?=[a-fA-F:]*[0-9])(?:{_H}:){{1,7}}:)(?![0-9A-Za-z_]|:[0-9a-fA-F:])"
+)
 PATTERNS = {
     "secret": r"(?i:\b(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?)[A-Za-z0-9+/_.-]{8,}|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp|gho|sk|pk)[_-][A-Za-z0-9_]{20,}\b|\b[0-9a-fA-F]{32,}\b",
     "email": r"(?<![\p{L}0-9])[\p{L}0-9][\p{L}0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9])|\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})\b",
+    "ip": rf"(?<![0-9.])(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9])|\b(?:[0-9a-fA-F]{{1,4}}:){{7}}[0-9a-fA-F]{{1,4}}\b|{_IPV6}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{3,4}(?![0-9])",
-    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "card": r"(?<![0-9])(?:(?:[0-9]{4}[ -]?){3}[0-9]{3,4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
+    "phone": r"(?<![0-9])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])"
+    # with groups of one digit, and eight digits at least
+    r"|(?<![0-9])(?=\+(?:[ .()-]{0,2}[0-9]){8})\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?(?:[0-9](?![0-9])|[0-9]{2,4})(?:[ .-][0-9](?![0-9])|[ .-]?[0-9]{2,4}){1,5}[ .-]?[0-9]{2,4}(?![0-9])"
+    r"|(?<![0-9])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "person": rf"\b{_TITLES}\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 REGEX = "|".join(f"({p})" for p in PATTERNS.values())
@@ -51,7 +67,7 @@ HINTS = (
     "@",  # email
     r"(?i:password|passwd|pwd|token|secret|key)|AKIA|ASIA|\b(?:ghp|gho|sk|pk)[_-][A-Za-z0-9_]{20}|[0-9a-fA-F]{32}",  # secret
     "[A-Z]{2}[0-9]{2}",  # iban
-    r"[0-9]\.[0-9]|[0-9a-fA-F]:[0-9a-fA-F]",  # ip
+    r"[0-9]\.[0-9]|[0-9a-fA-F]:[0-9a-fA-F]|::",  # ip
     "[0-9]{3}",  # ssn, card, phone without a country code
     r"\+[0-9]",  # phone with a country code
     rf"\b{_TITLES}\.? \p{{Lu}}",  # person
@@ -96,13 +112,24 @@ def lead(kind: Column, mention: Column) -> Column:
     return F.when(kind == "secret", F.regexp_extract(mention, _LEAD, 0)).when(kind == "person", F.regexp_extract(mention, _TITLE, 0)).otherwise(F.lit(""))
 
 
+def _groups(mention: Column) -> Column:
+    """An IPv6 address as eight groups without leading zeros."""
+    octet = lambda i: F.regexp_extract(mention, r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)$", i).cast("int")
+    tail = F.concat(F.regexp_replace(mention, r"[0-9]+\.[0-9.]+$", ""), F.hex(octet(1) * 256 + octet(2)), F.lit(":"), F.hex(octet(3) * 256 + octet(4)))
+    halves = F.split(F.lower(F.when(mention.contains("."), tail).otherwise(mention)), "::", 2)
+    part = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+    zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(part(0)) - F.size(part(1)))
+    return F.array_join(F.transform(F.concat(part(0), zeros, part(1)), lambda g: F.regexp_replace(g, "^0+(?=.)", "")), ":")
+
+
 def canonical(kind: Column, mention: Column) -> Column:
     """What is the same in all mentions of an entity."""
     digits = F.regexp_replace(mention, "[^0-9]", "")
     return (
-        F.when(kind.isin("phone"), F.when(F.length(digits) == 10, F.concat(F.lit("1"), digits)).otherwise(digits))
+        F.when(kind.isin("phone"), F.when((F.length(digits) == 10) & ~mention.startswith("+"), F.concat(F.lit("1"), digits)).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits)
         .when(kind == "email", F.lower(mention))
+        .when((kind == "ip") & mention.contains(":"), _groups(mention))
         .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
         .when(kind == "person", F.lower(F.regexp_replace(mention, _TITLE, "")))
         .when(kind == "secret", F.regexp_replace(mention, _LEAD, ""))
@@ -183,7 +210,7 @@ def surrogate(kind: Column, mention: Column, canon: Column, stream: Column) -> C
     octet = lambda i: (F.pmod(_hex_number(stream, 1 + 6 * i, 6), F.lit(254)) + 1).cast("string")
     digits = F.regexp_replace(mention, "[^0-9]", "")
     country = F.when(mention.startswith("+"), F.regexp_extract(mention, r"^\+([0-9]{1,3})(?=[ .(-])", 1)).otherwise(F.lit(""))
-    own = F.when(F.length(digits) == 10, digits).otherwise(F.substring(digits, F.length(country) + 1, F.length(digits)))
+    own = F.when((F.length(digits) == 10) & ~mention.startswith("+"), digits).otherwise(F.substring(digits, F.length(country) + 1, F.length(digits)))
     # by 10 last digits, so that mentions with and without a country mark agree
     number = F.substring(_digit_string(stream, 24), F.lit(24) - F.length(own) + 1, F.length(own))
     mailbox = F.concat(F.lit("u"), F.substring(stream, 1, 14), F.lit("@"), F.concat(F.lit("mail"), F.pmod(_hex_number(stream, 20, 4), F.lit(10)).cast("string"), F.lit(".example."), _pick("com net org", _hex_number(stream, 30, 4))))

@@ -312,6 +312,26 @@ def test_each_alternative_alone(spark):
     )
 
 
+def test_forms_of_the_types(spark):
+    """Compressed IPv6 addresses, short IBANs, 4-6-5 cards, groups of one digit."""
+    new = _found_alone(
+        spark,
+        [
+            *[("ip", x) for x in ("2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "fe80::1ff:fe23:4567:890a", "::1", "fe80::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::3:4:5:6:7:8", "::ffff:192.0.2.1", "::ffff:c000:201", "64:ff9b::192.0.2.33")],
+            *[("iban", x) for x in ("NO93 8601 1117 947", "NO9386011117947", "BE68 5390 0754 7034")],
+            *[("card", x) for x in ("3782 822463 10005", "3782-822463-10005", "378282246310005", "3056 930902 5904")],
+            *[("phone", x) for x in ("+33 1 23 45 67 89", "+33123456789", "+33 (0)1 23 45 67 89", "+61 2 9374 4000", "+55 11 9 1234 5678", "+32 2 123 45 67")],
+        ],
+    )
+    assert new[0] == new[1] != new[2] and new[8] == new[9]
+    assert new[14].replace(" ", "-") == new[15] and _luhn(new[14])
+    assert re.fullmatch(r"\+33 \d \d\d \d\d \d\d \d\d", new[18]) and new[18] != "+33 1 23 45 67 89"
+    assert re.fullmatch(r"\+32 \d \d{3} \d\d \d\d", new[23])
+    plain = ["std::vector std::Bad Face::open x :: y", "at 12:30:45, 00:1a:2b:3c:4d:5e", "+1 2 3 45", "Cafe:: open", "1:2 3::"]
+    rows = {r.doc_id: r for r in pii.pseudonymise(frame(spark, plain)).collect()}
+    assert [rows[i].n_entities for i in range(5)] == [0, 0, 0, 0, 1]
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With very few surrogates, collisions are derived again."""
     monkeypatch.setattr(pii, "_stream", lambda kind, canon, attempt, key: F.rpad(F.lpad(F.hex(F.pmod(F.xxhash64(canon, attempt), F.lit(40))), 16, "0"), 128, "7"))
