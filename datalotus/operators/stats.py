@@ -272,7 +272,7 @@ def leakage(df: DataFrame, target: str, features: Sequence[str]) -> list[dict]:
     for f in features:
         kind = dict(df.dtypes)[f]
         a, b = F.col(f"`{f}`"), F.col(f"`{target}`")
-        r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(a.cast("string").eqNullSafe(b.cast("string"))).alias("same"), (safe_corr(a, b) if numeric and kind not in ("string", "boolean") else F.lit(None).cast("double")).alias("r"), F.approx_count_distinct(a).alias("d")).first()
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(a.cast("string").eqNullSafe(b.cast("string"))).alias("same"), (safe_corr(a, b) if numeric and kind not in ("string", "boolean") else F.lit(None).cast("double")).alias("r"), F.count_distinct(a).alias("d")).first()
         if r.n < 20:
             continue
         if r.same == r.n:
@@ -287,7 +287,7 @@ def leakage(df: DataFrame, target: str, features: Sequence[str]) -> list[dict]:
             if effect >= 0.98 and r.d < 0.95 * r.n:
                 out.append({"column": f, "kind": "correlation_ratio", "score": effect})
                 continue
-        if r.d < 0.95 * r.n and r.d <= 1000:
+        if r.d < 0.95 * r.n:
             ratio = determinism(df, f, target).first().ratio
             if ratio is not None and ratio >= 0.99:
                 out.append({"column": f, "kind": "deterministic", "score": ratio})

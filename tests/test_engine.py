@@ -146,6 +146,15 @@ def test_statistics(spark):
     assert stats.fit_distributions(spark.range(1000).select(F.col("id").alias("v")), "v")[0]["distribution"] == "uniform"
 
 
+def test_leakage_of_many_codes(spark):
+    """A code that fixes the target is a leak however many codes there are; one that
+    differs in nearly every row isn't held against the target."""
+    df = spark.range(10_000).select(F.col("id"), (F.col("id") % 2_500).alias("code"), F.pmod(F.xxhash64(F.col("id") % 2_500), F.lit(3)).alias("y"))
+    assert [(r["column"], r["kind"]) for r in stats.leakage(df, "y", ["code", "id"])] == [("code", "deterministic")]
+    edge = spark.range(1_000).select(F.when(F.col("id") < 949, F.col("id")).otherwise(0).alias("under"), F.when(F.col("id") < 950, F.col("id")).otherwise(0).alias("at"), F.when(F.col("id") < 949, F.pmod(F.xxhash64("id"), F.lit(3))).otherwise(F.pmod(F.xxhash64(F.lit(0).cast("long")), F.lit(3))).alias("y"))
+    assert [(r["column"], r["kind"]) for r in stats.leakage(edge, "y", ["under", "at"])] == [("under", "deterministic")]
+
+
 def test_insights(spark):
     rows = [("A", 100.0)] * 100 + [("B", 30.0)] * 50 + [("C", 20.0)] * 50
     df = spark.createDataFrame(rows, "category string, value double")
