@@ -101,8 +101,10 @@ def numeric_outliers(df: DataFrame, column: str, method: str = "auto") -> DataFr
 
 
 def _sample(df: DataFrame, column: str, most: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by a hash of a row's own number, so that equal values are drawn one by one."""
     v = finite(F.col(f"`{column}`"))
-    rows = df.select(v.alias("v")).where("v is not null").orderBy(F.xxhash64("v", F.lit(seed))).limit(most).collect()
+    numbered = df.select(v.alias("v"), F.monotonically_increasing_id().alias("row")).where("v is not null")
+    rows = numbered.orderBy(F.xxhash64("row", F.lit(seed))).limit(most).collect()
     x = np.array([r.v for r in rows], float)
     return x, np.sort(x)
 

@@ -124,8 +124,10 @@ def impute(df: DataFrame, columns: Sequence[str], rounds: int = 10, train_rows:
     mean = np.array([stats[f"m_{i}"] or 0.0 for i in range(len(columns))])
     dev = np.array([stats[f"s_{i}"] or 1.0 for i in range(len(columns))])
     dev[dev == 0] = 1.0
-    rows = df.select(*[v.alias(c) for c, v in x.items()]).orderBy(F.xxhash64(*x.values())).limit(train_rows).collect()
-    data = (np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(-1, len(columns)) - mean) / dev
+    # by a hash of a row's own number, so that equal rows are drawn one by one
+    numbered = df.select(*[v.alias(f"x_{i}") for i, v in enumerate(x.values())], F.monotonically_increasing_id().alias("row"))
+    rows = numbered.orderBy(F.xxhash64("row")).limit(train_rows).collect()
+    data = (np.array([[np.nan if v is None else v for v in r[:-1]] for r in rows], float).reshape(-1, len(columns)) - mean) / dev
     lost, filled = np.isnan(data), np.nan_to_num(data)
     weights = np.zeros((len(columns), len(columns)))
     for _ in range(rounds):

@@ -155,6 +155,16 @@ def test_leakage_of_many_codes(spark):
     assert [(r["column"], r["kind"]) for r in stats.leakage(edge, "y", ["under", "at"])] == [("under", "deterministic")]
 
 
+def test_samples_draw_rows(spark):
+    """Equal rows don't enter the bounded samples together."""
+    df = spark.range(20_200).select((F.col("id") % 101).cast("double").alias("a"))
+    x, _ = anomaly._sample(df, "a", 150, 42)
+    assert len(x) == 150 and len(set(x)) > 50 and x.max() - x.min() > 80
+    pairs = df.withColumn("b", F.when(F.rand(1) < 0.9, 2 * F.col("a")))
+    filled = clean.impute(pairs, ["a", "b"], train_rows=150).agg(F.max(F.abs(F.col("b") - 2 * F.col("a"))).alias("off")).first()
+    assert filled.off < 30
+
+
 def test_insights(spark):
     rows = [("A", 100.0)] * 100 + [("B", 30.0)] * 50 + [("C", 20.0)] * 50
     df = spark.createDataFrame(rows, "category string, value double")
