@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,7 @@ from pyspark.sql.window import Window
 PER_LANG, VOCABULARY, EVIDENCE, NGRAM = 2000, 20_000, 20, 4
 LANGUAGES = 1000  # the model's tables are bounded by this times VOCABULARY
 CACHE = 200_000
+SLICE = 1 << 20  # characters of text that a worker splits at once
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -149,6 +151,16 @@ class _Tokens:
         return langs[best], float(1 / np.exp(scores - scores[best]).sum())
 
 
+def slices(batch: pa.RecordBatch, at: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts (column `at`) have about `size` bytes."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False)))
+    start, done = 0, 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield batch.slice(start, stop - start)
+        start, done = stop, ends[stop - 1]
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, vocabulary: int = VOCABULARY) -> Model:
     text, lang = F.col(text_col), F.col(lang_col)
     usable = docs.where(text.isNotNull() & lang.isNotNull() & ~held_out(F.col(id_col))).select(text.alias("text"), lang.alias("lang"))
@@ -179,9 +191,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(sent.value)
         for batch in batches:
-            out = tokens.predict(batch.column(at).to_pylist())
-            new = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            for rows in slices(batch, at, SLICE):
+                out = tokens.predict(rows.column(at).to_pylist())
+                new = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
 
