@@ -4,20 +4,25 @@ A rolling hash over 16 bytes cuts texts into chunks wherever its low bits are
 zero, so a passage that many documents share is cut alike in each. A worker keeps
 the ids of the chunks it has met, and a shared chunk is encoded once per worker.
 At a join the encodings of the two chunks may disagree with that of the whole
-text, so the join is repaired: the text from the left chunk's last safe place to
-the right chunk's first one is encoded anew. A safe place is a space that a
-non-space follows; there a pre-token starts in every context, so from it on both
-encodings agree exactly. A chunk without a safe place is added to the text to
-encode anew, until there is one.
-
-The chunks stay in the tasks that read them: an exchange of chunk texts and ids
-would need over twice the input's size on disk.
+text, so the join is repaired: the text around it is encoded again, from the left
+chunk's last safe stretch to the right chunk's first one, both included. The new ids
+must begin with the left chunk's own ids of its last stretch and end with the right
+chunk's own ids of its first one. Where they don't, the text to encode again grows
+by the chunk that disagrees (and the one before it on the left), until both sides
+agree or the text's ends are reached. A stretch lies between safe places: spaces that
+a non-space follows, where a pre-token starts in every context. A chunk without two
+safe places is added to the text to encode again.
+
+The chunks stay in the tasks that read them, and a worker forgets chunks once their
+ids and keys pass `CHUNK_BYTES`; a chunk is then encoded again, with the same ids. A
+tokenizer whose pre-tokens don't start at spaces (`Pieces.splits` is false) has no
+safe places, so its texts are encoded whole.
 
 Ids are those of the tokenizers library with add_special_tokens=False; decoding is
 its decode(ids, skip_special_tokens=False). Defined cases: null text encodes as the
 empty text (no ids, decodes to ''); repeated rows each keep their row; an empty
-table gives an empty result; other columns are not touched and may have any name
-but `ids` and `decoded`.
+table gives an empty result; other columns are not touched, but `ids` and `decoded`
+replace columns of these names.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datalotus.llm.byte_bpe import Decoder, Pieces, shared
+from datalotus.llm.common import column, row, trim
 
 MASK, LEAST = (1 << 10) - 1, 64  # chunks of 1 KB on average
 CHUNK_BYTES = 48 << 20  # of ids and keys kept by a worker
@@ -61,53 +67,82 @@ class ChunkEncoder:
     def __init__(self, path: str) -> None:
         self.pieces = Pieces(path)
         self.decoder = Decoder(path)
-        self.chunks: dict[bytes, tuple[int, int, bytes]] = {}
-        self.old: dict[bytes, tuple[int, int, bytes]] = {}
-        self.held = self.hits = 0
+        self.chunks: dict[bytes, tuple] = {}
+        self.old: dict[bytes, tuple] = {}
+        self.held = self.hits = self.widened = 0
 
-    def _chunk(self, chunk: bytes) -> tuple[int, int, bytes]:
-        """First and last safe place (-1: none) and the ids between them."""
+    def _chunk(self, chunk: bytes) -> tuple | None:
+        """First and last safe place, the ids between them, where the first stretch
+        ends and its ids, where the last one starts and its ids; None without two."""
         found = self.chunks.get(chunk) or self.old.get(chunk)
         if found is None:
-            first = _SAFE.search(chunk)
-            if first is None:
-                found = (-1, -1, b"")
-            else:
-                last = chunk.rfind(b" ")
-                while not _SAFE.match(chunk, last):
-                    last = chunk.rfind(b" ", 0, last)
-                found = (first.start(), last, self.pieces.encode(chunk[first.start() : last].decode()))
+            found = self._made(chunk)
         else:
             self.hits += 1
         if chunk not in self.chunks:
-            self.held += len(chunk) + len(found[2]) + 200
+            self.held += len(chunk) + len(found[2]) + len(found[4]) + len(found[6]) + 400
             if self.held > CHUNK_BYTES // 2:
                 self.old, self.chunks, self.held = self.chunks, {}, 0
             self.chunks[chunk] = found
-        return found
+        return found if found[1] > found[0] else None
+
+    def _made(self, chunk: bytes) -> tuple:
+        first = _SAFE.search(chunk)
+        second = first and _SAFE.search(chunk, first.end())
+        if not second:
+            return (-1, -1, b"", -1, b"", -1, b"")
+        places = [first.start(), second.start(), *self._last_two(chunk, second.start())]
+        encode = lambda a, b: self.pieces.encode(chunk[a:b].decode())
+        whole = encode(places[0], places[3])
+        head = encode(places[0], places[1])
+        return (places[0], places[3], whole, places[1], head, places[2], encode(places[2], places[3]))
+
+    @staticmethod
+    def _last_two(chunk: bytes, second: int) -> tuple[int, int]:
+        found, at = [], len(chunk)
+        while len(found) < 2 and at > second:
+            at = chunk.rfind(b" ", 0, at)
+            if _SAFE.match(chunk, at):
+                found.append(at)
+        return (found[1], found[0]) if len(found) == 2 else (_SAFE.search(chunk).start(), second)
 
     def encode(self, text: str) -> bytes:
-        if not self.pieces.splits or len(text) < 2 * LEAST:
+        if not self.pieces.splits:
             return self.pieces.encode(text)
         data = text.encode()
-        out, seam, start = [], 0, 0
+        done: list[tuple[int, bytes, bytes]] = []  # settled ids, with the seam and known ids before them
+        seam, known, start = 0, b"", 0  # text from `seam` on is open; its first ids must be `known`
         for end in cuts(data):
-            first, last, ids = self._chunk(data[start:end])
-            if first >= 0:
-                out.append(self.pieces.encode(data[seam : start + first].decode()))
-                out.append(ids)
-                seam = start + last
+            chunk = self._chunk(data[start:end])
+            if chunk is not None:
+                first, last, ids, upto, head, tail_at, tail = chunk
+                while True:
+                    joint = self.pieces.encode(data[seam : start + upto].decode())
+                    if joint.startswith(known):
+                        break
+                    self.widened += 1  # the left chunk disagrees: it is opened again
+                    seam, known = done.pop()[:2]
+                if len(joint) >= len(known) + len(head) and joint.endswith(head):
+                    done.append((seam, known, joint[len(known) : len(joint) - len(head)] + ids))
+                    seam, known = start + tail_at, tail
+                else:
+                    self.widened += 1
             start = end
-        out.append(self.pieces.encode(data[seam:].decode()))
-        return b"".join(out)
+        while not (joint := self.pieces.encode(data[seam:].decode())).startswith(known):
+            self.widened += 1
+            seam, known = done.pop()[:2]
+        return b"".join([d[2] for d in done]) + joint[len(known) :]
+
 
+def _coder(path: str, at: int | None, decode: bool):  # noqa: ANN202
+    """Batches of the first column with ids (and decoded). Texts are the column's
+    field `at`, or the second column."""
 
-def _coder(path: str, at: int, decode: bool):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = shared(ChunkEncoder, path)
         for batch in batches:
-            names = [*batch.schema.names, "ids", *["decoded"] * decode]
-            texts, start = batch.column(at), 0
+            names = [batch.schema.names[0], "ids", *["decoded"] * decode]
+            texts, start = batch.column(1) if at is None else batch.column(0).field(at), 0
             while start < batch.num_rows:
                 parts, decoded, size = [], [], 0
                 while start + len(parts) < batch.num_rows and len(parts) < ROWS and size < BYTES:
@@ -119,18 +154,23 @@ def _coder(path: str, at: int, decode: bool):  # noqa: ANN202
                 offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
                 values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
                 new = [pa.ListArray.from_arrays(pa.array(offsets), values), *([pa.array(decoded, pa.string())] if decode else [])]
-                rows = batch.slice(start, len(parts))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(parts)), *new], names=names)
                 start += len(parts)
+        trim()
 
     return run
 
 
+def _coded(rows: DataFrame, path: str, at: int | None, decode: bool) -> DataFrame:
+    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decode]
+    return rows.mapInArrow(_coder(path, at, decode), T.StructType([rows.schema.fields[0], *new]))
+
+
 def encode(docs: DataFrame, tokenizer_path: str, text_col: str = "text", decode: bool = False) -> DataFrame:
     """`docs` with `ids` (array<int>) and, if asked for, `decoded`."""
-    new = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decode]
-    schema = T.StructType([*docs.schema.fields, *new])
-    return docs.mapInArrow(_coder(tokenizer_path, docs.columns.index(text_col), decode), schema)
+    new = ["ids", *["decoded"] * decode]
+    coded = _coded(docs.select(row(docs).alias("doc")), tokenizer_path, docs.columns.index(text_col), decode)
+    return coded.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in new], *new)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
@@ -140,15 +180,19 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = shared(Decoder, tokenizer_path)
         for batch in batches:
-            texts = [decoder.decode(np.array(ids or [], np.int64)).decode("utf-8", "replace") for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            lists = batch.column(0).field(at)
+            for start in range(0, batch.num_rows, ROWS):
+                texts = [decoder.decode(np.array(ids or [], np.int64)).decode("utf-8", "replace") for ids in lists.slice(start, ROWS).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, ROWS), pa.array(texts, pa.string())], names=["doc", "decoded"])
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+    rows = encoded.select(row(encoded).alias("doc"))
+    done = rows.mapInArrow(run, T.StructType([rows.schema.fields[0], T.StructField("decoded", T.StringType())]))
+    return done.select(*[F.col("doc").getField(c).alias(c) for c in encoded.columns if c.lower() != "decoded"], "decoded")
 
 
 def digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = encode(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), tokenizer_path, decode=True)
+    coded = _coded(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), tokenizer_path, None, True)
     shown = F.col("ids").cast("string")  # [1, 2, 3]
     listed = F.replace(F.substring(shown, F.lit(2), F.length(shown) - 2), F.lit(", "), F.lit(","))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

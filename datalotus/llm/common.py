@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,29 +43,73 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-_MADE: list[tuple[str, str]] = []
+class Tables:
+    """The intermediate tables of one result. They live in the shared folder until
+    `release`, which the result's owner may call once the result is written; what is
+    left goes when the application ends. No other result's tables are touched."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
 
-def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends there, and
-    a lost executor costs only the tasks that read it. `release` deletes it unless
-    `keep` is set."""
-    path = new_path(df.sparkSession, label)
+    def own(self, path: str) -> str:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+        self.paths.append(path)
+        return path
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        return _written(df, self.own(new_path(self.spark, label)))
+
+    def release(self) -> None:
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    if not keep:
-        _MADE.append((df.sparkSession.sparkContext.applicationId, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables `materialize` wrote in this application. Only for callers
-    whose results are all written elsewhere."""
-    app = spark.sparkContext.applicationId
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for entry in [e for e in _MADE if e[0] == app]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
-        path.getFileSystem(conf).delete(path, True)
-        _MADE.remove(entry)
+def materialize(df: DataFrame, label: str, tables: Tables | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends there, and a
+    lost executor costs only the tasks that read it. `tables` owns the written table."""
+    return (tables or Tables(df.sparkSession)).write(df, label)
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """The same, without an owner: the table stays when the application ends."""
+    return _written(df, new_path(df.sparkSession, label))
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def row(docs: DataFrame) -> Column:
+    """A row as one struct, so that columns made beside it can't clash with its own."""
+    return F.struct(*[column(c) for c in docs.columns])
+
+
+def slices(batch: pa.RecordBatch, texts: pa.Array, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have about `size` bytes."""
+    ends = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    start, done = 0, 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
+        yield batch.slice(start, stop - start)
+        start, done = stop, ends[stop - 1]
+
+
+def trim() -> None:
+    """Give freed memory back to the system, as an idle worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def lower_ascii(text: Column) -> Column:

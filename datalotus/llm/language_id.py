@@ -7,10 +7,14 @@ over its words; the returned score is the posterior of the best language, with t
 evidence of at most `EVIDENCE` words counted in full.
 
 The model is fitted on a bounded sample: at most `PER_LANG` documents of each
-language, chosen by a hash of the text, whose crc32(doc_id as text) mod 4 is not 2,
+language, chosen by a hash of the text (copies of a text count once), whose crc32(doc_id as text) mod 4 is not 2,
 and it keeps the `VOCABULARY` most frequent words of each language. Prediction
 reads every whole text and never lang, source or doc_id.
 
+Words are runs of letters (Unicode category L) in lower case, found by the same
+code when learning and when predicting; numerals such as ½ or Ⅷ are no letters.
+The worker splits a slice of texts at a time, so its memory doesn't grow with them.
+
 Defined cases: null texts and texts without a letter are `und` with score 0; a
 null lang isn't learned from; a null doc_id isn't held out; with nothing to learn
 from every text is `und`; ties go to the smaller language code; repeated rows each
@@ -20,29 +24,37 @@ keep their row; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from datalotus.llm.common import column, row, slices, trim
+
 PER_LANG, VOCABULARY, EVIDENCE, NGRAM = 2000, 20_000, 20, 4
 LANGUAGES = 1000  # the model's tables are bounded by this times VOCABULARY
 CACHE = 200_000
 SLICE = 1 << 20  # characters of text that a worker splits at once
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def held_out(id_col: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
+def letter_runs(text: str) -> list[str]:
+    """Words: the runs of letters (Unicode category L) in lower case."""
+    out = []
+    for token in text.lower().split():
+        # str.isalpha() holds for category L only
+        out += (token,) if token.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
+    return out
+
+
 class Model:
     """Log frequencies by word and by n-gram: dictionaries from key to the row of one
     matrix. Plain data, so that it can be sent to the tasks."""
@@ -104,7 +116,7 @@ class _Tokens:
         parts: list[int] = []
         starts, owner, runs = [], [], np.zeros(len(new), np.float32)
         for i, token in enumerate(new):
-            found = (token.lower(),) if token.isalpha() else _LETTERS.findall(token.lower())
+            found = letter_runs(token)
             runs[i] = len(found)
             for word in found:
                 starts.append(len(parts))
@@ -151,30 +163,28 @@ class _Tokens:
         return langs[best], float(1 / np.exp(scores - scores[best]).sum())
 
 
-def slices(batch: pa.RecordBatch, at: int, size: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts (column `at`) have about `size` bytes."""
-    ends = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False)))
-    start, done = 0, 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, done + size, "right")))
-        yield batch.slice(start, stop - start)
-        start, done = stop, ends[stop - 1]
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, vocabulary: int = VOCABULARY) -> Model:
-    text, lang = F.col(text_col), F.col(lang_col)
-    usable = docs.where(text.isNotNull() & lang.isNotNull() & ~held_out(F.col(id_col))).select(text.alias("text"), lang.alias("lang"))
+    text, lang = column(text_col), column(lang_col)
+    usable = docs.where(text.isNotNull() & lang.isNotNull() & ~held_out(column(id_col))).select(text.alias("text"), lang.alias("lang"))
     sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return Model({})
     every = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, max(1, math.ceil(n / per_lang)))])
-    sample = usable.where(F.pmod(F.xxhash64("text"), every[F.col("lang")]) == 0)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"))
-    sample = sample.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang)
-    found = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[\\p{L}]+"), F.lit(0))).alias("word"))
-    counts = found.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    # copies of a text are one document here, so a hot text is one row of the sample
+    sample = usable.where(F.pmod(F.xxhash64("text"), every[F.col("lang")]) == 0).withColumn("h", F.xxhash64("text")).dropDuplicates(["lang", "h"])
+    first = Window.partitionBy("lang").orderBy("h")
+    sample = sample.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_lang).select("lang", "text")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in slices(batch, batch.column(1), SLICE):
+                seen = Counter((lang, word) for lang, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True) for word in letter_runs(text))
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "word", "n"])
+
+    found = sample.mapInArrow(split, "lang string, word string, n long")
+    counts = found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "word")
     kept = counts.withColumn("r", F.row_number().over(top)).where(F.col("r") <= vocabulary).select("lang", "word", "n")
     table: dict[str, dict[str, int]] = {k: {} for k in sizes}
@@ -183,25 +193,33 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(table)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score."""
+def judge(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """doc (the whole row as a struct), lang_pred, lang_score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES * VOCABULARY words and their n-grams
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens(sent.value)
         for batch in batches:
-            for rows in slices(batch, at, SLICE):
-                out = tokens.predict(rows.column(at).to_pylist())
-                new = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *new], names=[*batch.schema.names, "lang_pred", "lang_score"])
+            for rows in slices(batch, batch.column(0).field(at), SLICE):
+                out = tokens.predict(rows.column(0).field(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], names=["doc", "lang_pred", "lang_score"])
+        del tokens
+        trim()
+
+    rows = docs.select(row(docs).alias("doc"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]))
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """`docs` with lang_pred and lang_score, which replace columns of these names."""
+    new = ("lang_pred", "lang_score")
+    return judge(docs, model, text_col).select(*[F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in new], *new)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score."""
     model = fit(docs, id_col, text_col, lang_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    done = predict(slim, model)
-    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    slim = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    done = judge(slim, model)
+    return done.select("doc.doc_id", held_out(F.col("doc.doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -18,6 +18,7 @@ it, so a source's taken words miss its target by half a document at most.
 Scale: prefix sums come in two steps. (source, first `DIGITS` hex digits of the
 hash) buckets are summed, those sums are accumulated, and only a bucket is sorted
 in one task: a source with a third of all rows is spread over 16**DIGITS buckets.
+Ranks and sums over the sources are taken in ranges as well (`prefix_sums`).
 
 Defined cases: null text has size 0; null source is a source of its own, last;
 a source without words has target 0 and no copies; rows repeated with one doc_id
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from datalotus.llm.common import word_count
+from datalotus.llm.common import Tables, column, materialize, partitions, word_count
 
 WEIGHTS, RAMPS, CAP, DIGITS = (1, 2, 3), (-0.5, 0.0, 0.5), 3, 3
 
@@ -41,21 +42,36 @@ def _cycle(values: Sequence[float], i: Column, kind: str) -> Column:
     return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (F.pmod(i, F.lit(len(values))) + 1).cast("int"))
 
 
-def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, ramps: Sequence[float] = RAMPS, cap: int = CAP) -> DataFrame:
-    """One row per source of `sized` (source, size): source_size, target, ramp."""
-    every = Window.partitionBy()
+def prefix_sums(df: DataFrame, order: Sequence[Column], sums: dict[str, str], tables: Tables) -> DataFrame:
+    """`df` with, for each entry of `sums` (new name to column), the sum over the rows
+    before in `order`; a column "" stands for ones. Rows are sorted in ranges: a task
+    holds one range, and only the ranges' totals (one row each) meet in one task."""
+    n = min(partitions(df.sparkSession), 1024)
+    ranged = materialize(df.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges", tables)
+    value = {k: F.col(v) if v else F.lit(1) for k, v in sums.items()}
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most n rows
+    totals = ranged.groupBy("range").agg(*[F.sum(v).alias(k) for k, v in value.items()])
+    offsets = totals.select("range", *[F.coalesce(F.sum(k).over(ahead), F.lit(0)).alias(f"{k}_offset") for k in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumns({k: F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in value.items()})
+    return local.join(F.broadcast(offsets), "range").withColumns({k: F.col(k) + F.col(f"{k}_offset") for k in sums}).drop("range", *[f"{k}_offset" for k in sums])
+
+
+def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, ramps: Sequence[float] = RAMPS, cap: int = CAP, tables: Tables | None = None) -> DataFrame:
+    """One row per source of `sized` (source, size): source_size, target, ramp. No task
+    holds all sources, which may be as many as URLs."""
+    tables = tables or Tables(sized.sparkSession)
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    per = per.withColumn("i", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    per = prefix_sums(per, [F.col("source").asc_nulls_last()], {"i": ""}, tables)
     per = per.withColumns({"w": _cycle(weights, F.col("i"), "double"), "ramp": _cycle(ramps, F.col("i"), "double"), "most": (F.lit(cap) * F.col("source_size")).cast("double")})
-    per = per.withColumns({"total": F.sum("source_size").over(every).cast("double"), "all_w": F.sum("w").over(every)})
-    before = Window.orderBy(F.col("most") / F.col("w"), "i").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumns({"cap_before": F.coalesce(F.sum("most").over(before), F.lit(0.0)), "w_before": F.coalesce(F.sum("w").over(before), F.lit(0.0))})
-    level = (F.col("total") - F.col("cap_before")) / (F.col("all_w") - F.col("w_before"))
+    per = prefix_sums(per, [F.col("most") / F.col("w"), F.col("i")], {"cap_before": "most", "w_before": "w"}, tables)
+    per = materialize(per, "shares", tables)
+    whole = per.agg(F.sum("source_size").cast("double").alias("total"), F.sum("w").alias("all_w")).first()  # one row
+    level = (F.lit(whole.total or 0.0) - F.col("cap_before")) / (F.lit(whole.all_w or 0.0) - F.col("w_before"))
     per = per.withColumn("full", F.col("most") < F.col("w") * level)
-    free_total = F.max("total").over(every) - F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(every)
-    free_w = F.sum(F.when(F.col("full"), F.lit(0.0)).otherwise(F.col("w"))).over(every)
-    per = per.withColumns({"free_total": free_total, "free_w": free_w})
-    target = F.when(F.col("full"), F.col("most")).otherwise(F.least(F.col("most"), F.col("w") * F.col("free_total") / F.col("free_w")))
+    free = per.agg(F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).alias("most"), F.sum(F.when(F.col("full"), F.lit(0.0)).otherwise(F.col("w"))).alias("w")).first()  # one row
+    share = F.col("w") * F.lit((whole.total or 0.0) - (free.most or 0.0)) / F.lit(free.w or 1.0)
+    target = F.when(F.col("full"), F.col("most")).otherwise(F.least(F.col("most"), share))
     return per.select("source", "source_size", target.alias("target"), "ramp")
 
 
@@ -65,17 +81,17 @@ def _position(u: Column, ramp: Column) -> Column:
     return F.when(u.isNotNull(), F.lit(2.0) * v / (b + F.sqrt(b * b + F.lit(4.0) * ramp * v)))
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, ramps: Sequence[float] = RAMPS, cap: int = CAP, carry: Sequence[str] = ()) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, ramps: Sequence[float] = RAMPS, cap: int = CAP, carry: Sequence[str] = (), tables: Tables | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies,
     position (of the first copy), step (from one copy's demand to the next) and
     `doc` with the columns of `carry`."""
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("key"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("doc")] if carry else []))
+    key = F.md5(F.coalesce(column(id_col).cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(column(id_col).alias("doc_id"), column(source_col).alias("source"), word_count(column(text_col)).alias("size"), key.alias("key"), *([F.struct(*[column(c) for c in carry]).alias("doc")] if carry else []))
     rows = rows.withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
-    plan = offsets.join(targets(sums.withColumnRenamed("bucket_size", "size"), weights, ramps, cap).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target", "ramp")
+    plan = offsets.join(targets(sums.withColumnRenamed("bucket_size", "size"), weights, ramps, cap, tables).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "offset", "source_size", "target", "ramp")
     inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     both = ranked.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))

@@ -14,6 +14,7 @@ A `.json` path is read with tokenizers, a `.model` path with sentencepiece.
 
 from __future__ import annotations
 
+import hashlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datalotus.llm.byte_bpe import LONGEST, Lengths, Pieces, Unsafe, _OPEN, shared
+from datalotus.llm.common import column, slices
 
 TABLE, SAMPLE = 1 << 16, 4096
+SLICE = 4 << 20  # bytes of text that a worker reads at once
 
 
 class _Sentences:
@@ -44,7 +47,7 @@ def frequent_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text
     token counts as 16-bit numbers."""
     rows = docs.count()
     every = max(1, rows // sample)
-    text = F.col(text_col)
+    text = column(text_col)
     picked = docs.where(text.isNotNull() & (F.pmod(F.xxhash64(text), F.lit(every)) == 0)).select(text.alias("text")).limit(sample).coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,16 +72,19 @@ def frequent_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, sample: int = SAMPLE, table: int = TABLE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    slim = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     slim = slim.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
     pieces = tokenizer_path.endswith(".json")
-    packed = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, tokenizer_path, text_col, sample, table) if pieces else None)  # at most `table` entries of LONGEST characters
+    found = frequent_lengths(docs, tokenizer_path, text_col, sample, table) if pieces else None
+    key = ("Lengths", tokenizer_path, found and hashlib.sha256(found[0].encode() + found[1]).digest())
+    packed = docs.sparkSession.sparkContext.broadcast(found)  # at most `table` entries of LONGEST characters
 
     def counter():  # noqa: ANN202
         if not pieces:
             return shared(_Sentences, tokenizer_path)
-        key = ("Lengths", tokenizer_path, packed.id if hasattr(packed, "id") else 0)
         if key not in _OPEN:
+            for other in [k for k in _OPEN if k[:2] == key[:2]]:
+                del _OPEN[other]
             keys, counts = packed.value
             known = dict(zip(keys.split(" "), array("H", counts), strict=True)) if counts else {}
             _OPEN[key] = Lengths(Pieces(tokenizer_path), known)
@@ -87,8 +93,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter().count
         for batch in batches:
-            n = pa.array([count(t) for t in batch.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n], names=["doc_id", "n_bytes", "n_tokens"])
+            for rows in slices(batch, batch.column(2), SLICE):
+                n = pa.array([count(t) for t in rows.column(2).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     counted = slim.mapInArrow(run, slim.schema["doc_id"].simpleString().replace(":", " ") + ", n_bytes long, n_tokens long")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

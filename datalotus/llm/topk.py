@@ -8,10 +8,17 @@ candidate whose lower bound exceeds |a|**2 + |b|**2 - 2 * (k-th best score so fa
 can't enter the top k and is left out; the exact product is computed for the
 survivors only. Ties at the k-th score survive, so smaller ids win as asked.
 
-The query set is written to the shared folder in blocks of `BLOCK` rows. Each task
-streams its candidates in pieces and meets the blocks one by one: a task holds a
-block, a piece and the block's best k, whatever the size of either side. Only k
-rows per query and task are shuffled.
+First `SEED` candidates, chosen by a hash, are scored with all queries; the k-th
+best of them is each query's first floor. The query set is written to the shared
+folder with these floors, in blocks of `BLOCK` rows. Each task streams its candidates
+in pieces and meets the blocks one by one. It keeps the best k and the floors of up
+to `OPEN` blocks from batch to batch, so floors only rise; further blocks are read
+again for each batch, from their first floors. A task's memory is thus bounded
+whatever the size of either side, and only k rows per query and task are shuffled.
+
+Scores are exact integers: products that could pass 2**62 are taken with integers of
+any size, and a score that fits no long is an error. Bounds are floating-point, with
+a slack above their rounding.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite
 component take no part; vectors of different lengths aren't compared; a query's
@@ -31,21 +38,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from datalotus.llm.common import new_path
+from datalotus.llm.common import Tables, column, new_path
 
 BLOCK, PIECE, PAIRS = 2048, 4096, 1 << 15
+SEED, OPEN = 1024, 32
 SEGMENTS = (4, 16)
 
+_NONE = np.iinfo(np.int64).min
 FOUND = "query_id long, vec_id long, score long"
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantise(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """vec_id and q, the components as floor(scale * x)."""
-    v = F.col(vector_col)
+    v, key = column(vector_col), column(id_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     q = F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    return vectors.where(v.isNotNull() & (F.size(v) > 0) & ~bad & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), q.alias("q"))
+    return vectors.where(v.isNotNull() & (F.size(v) > 0) & ~bad & key.isNotNull()).select(key.cast("long").alias("vec_id"), q.alias("q"))
 
 
 def _stats(x: np.ndarray, segments: int) -> np.ndarray:
@@ -58,15 +67,23 @@ def _stats(x: np.ndarray, segments: int) -> np.ndarray:
     return np.stack(out, axis=1)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row of integer matrices, exact."""
+    if len(a) == 0 or np.sqrt((a.astype(float) ** 2).sum(axis=1).max()) * np.sqrt((b.astype(float) ** 2).sum(axis=1).max()) < 2.0**62:
+        return np.einsum("ij,ij->i", a, b)
+    return np.array([sum(x * y for x, y in zip(p, q, strict=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True)], dtype=np.int64)
+
+
 class _Block:
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
-        self.ids, self.x, self.k = ids, x, k
+    def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> None:
+        x = q.astype(float)
+        self.ids, self.exact_x, self.k = ids, q, k
         self.norm = (x * x).sum(axis=1)
         self.stats = [_stats(x, s) for s in SEGMENTS]
         self.q = np.empty(0, np.int64)
         self.v = np.empty(0, np.int64)
         self.s = np.empty(0, np.int64)
-        self.floor = np.full(len(ids), -np.inf)
+        self.floor, self.known = floor.copy(), floor > _NONE
 
     def add(self, q: np.ndarray, v: np.ndarray, s: np.ndarray) -> None:
         q, v, s = np.concatenate([self.q, q]), np.concatenate([self.v, v]), np.concatenate([self.s, s])
@@ -76,13 +93,15 @@ class _Block:
         keep = rank < self.k
         self.q, self.v, self.s = q[keep], v[keep], s[keep]
         full = rank[keep] == self.k - 1
-        self.floor[self.q[full]] = self.s[full]
+        at = self.q[full]
+        self.floor[at] = np.maximum(self.floor[at], self.s[full])
+        self.known[at] = True
 
     def exact(self, qi: np.ndarray, ci: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
         for at in range(0, len(qi), PAIRS):
             a, b = qi[at : at + PAIRS], ci[at : at + PAIRS]
-            s = np.einsum("ij,ij->i", self.x[a], y[b]).astype(np.int64)
-            good = s >= self.floor[a]
+            s = _products(self.exact_x[a], y[b])
+            good = ~self.known[a] | (s >= self.floor[a])
             self.add(a[good], ids[b[good]], s[good])
 
     def search(self, ids: np.ndarray, y: np.ndarray, norm: np.ndarray, stats: list[np.ndarray]) -> None:
@@ -92,67 +111,115 @@ class _Block:
             low = both - 2 * (self.stats[0][rows] @ stats[0].T)
             other = self.ids[rows, None] != ids[None, :]
             low[~other] = np.inf
-            if np.isinf(self.floor[rows]).any():  # first piece: the nearest by the coarse bound give a floor
+            if not self.known[rows].all():  # first piece: the nearest by the coarse bound give a floor
                 near = np.argpartition(low, min(self.k, low.shape[1] - 1), axis=1)[:, : self.k]
                 q = np.repeat(np.arange(low.shape[0]), near.shape[1])
                 c = near.ravel()
                 seen = np.isfinite(low[q, c])
                 self.exact(q[seen] + at, c[seen], ids, y)
                 low[q, c] = np.inf
-            limit = np.where(np.isinf(self.floor[rows, None]), np.inf, both - 2 * self.floor[rows, None])
+            limit = np.where(self.known[rows, None], both - 2.0 * self.floor[rows, None], np.inf)
             slack = 1e-9 * both + 1e-6
             q, c = np.nonzero((low <= limit + slack) & np.isfinite(low))
             fine = np.empty(len(q), bool)
             for i in range(0, len(q), PAIRS):
                 a, b = q[i : i + PAIRS], c[i : i + PAIRS]
                 bound = both[a, b] - 2 * np.einsum("ij,ij->i", self.stats[1][a + at], stats[1][b])
-                fine[i : i + PAIRS] = bound <= limit[a, b] + slack[a, b] if limit.shape[1] > 1 else bound <= limit[a, 0] + slack[a, b]
+                fine[i : i + PAIRS] = bound <= limit[a, b] + slack[a, b]
             self.exact(q[fine] + at, c[fine], ids, y)
 
 
-def _blocks(path: str, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(path: str, dim: int, skip: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of queries of this length from number `skip` on: number, ids, vectors,
+    floors. Their order is that of the files' names."""
     fs, root = pyarrow.fs.FileSystem.from_uri(path)
-    for info in fs.get_file_info(pyarrow.fs.FileSelector(root)):
+    number = 0
+    for info in sorted(fs.get_file_info(pyarrow.fs.FileSelector(root)), key=lambda i: i.path):
         if not info.path.endswith(".parquet"):
             continue
-        for batch in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(batch_size=BLOCK):
-            for length, ids, x in _matrices(batch):
+        for batch in pq.ParquetFile(fs.open_input_file(info.path)).iter_batches(batch_size=BLOCK, columns=["vec_id", "q", "floor"]):
+            for length, ids, x, rows in _matrices(batch):
                 if length == dim:
-                    yield ids, x
+                    if number >= skip:
+                        yield number, ids, x, batch.column(2).to_numpy(zero_copy_only=False)[rows]
+                    number += 1
 
 
-def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The batch's vectors as a matrix for each length."""
+def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The batch's vectors as a matrix for each length, with their row numbers."""
     ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-    lengths = np.diff(lists.offsets.to_numpy())
-    starts = lists.offsets.to_numpy()[:-1]
-    flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    offsets = lists.offsets.to_numpy()
+    lengths, starts = np.diff(offsets), offsets[:-1]
+    flat = lists.values.to_numpy(zero_copy_only=False)
     for length in np.unique(lengths):
         rows = np.nonzero(lengths == length)[0]
-        yield int(length), ids[rows], flat[starts[rows][:, None] + np.arange(length)]
+        yield int(length), ids[rows], flat[starts[rows][:, None] + np.arange(length)], rows
+
+
+def _seeder(sample: dict[int, tuple[np.ndarray, np.ndarray]], k: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            floor = np.full(batch.num_rows, _NONE)
+            for dim, ids, x, rows in _matrices(batch):
+                if dim not in sample:
+                    continue
+                cids, y = sample[dim]
+                for i, r in enumerate(rows):
+                    others = y[cids != ids[i]]
+                    s = _products(np.broadcast_to(x[i], others.shape), others)
+                    if len(s) >= k:
+                        floor[r] = np.partition(s, len(s) - k)[len(s) - k]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floor)], names=["vec_id", "q", "floor"])
+
+    return run
 
 
 def _searcher(path: str, k: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[int, list[_Block]] = {}
+        left = OPEN
+
+        def best(block: _Block) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(block.ids[block.q]), pa.array(block.v), pa.array(block.s)], schema=_FOUND)
+
         for batch in batches:
-            for dim, ids, y in _matrices(batch):
-                pieces = [slice(at, at + PIECE) for at in range(0, len(ids), PIECE)]
-                norm, stats = (y * y).sum(axis=1), [_stats(y, s) for s in SEGMENTS]
-                for qids, x in _blocks(path, dim):
-                    block = _Block(qids, x, k)
-                    for p in pieces:
+            for dim, ids, y, _ in _matrices(batch):
+                z = y.astype(float)
+                norm, stats = (z * z).sum(axis=1), [_stats(z, s) for s in SEGMENTS]
+                mine = opened.setdefault(dim, [])
+
+                def meet(block: _Block) -> None:
+                    for at in range(0, len(ids), PIECE):
+                        p = slice(at, at + PIECE)
                         block.search(ids[p], y[p], norm[p], [s[p] for s in stats])
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[block.q]), pa.array(block.v), pa.array(block.s)], schema=_FOUND)
+
+                for block in mine:
+                    meet(block)
+                for number, qids, x, floor in _blocks(path, dim, len(mine)):
+                    block = _Block(qids, x, floor, k)
+                    meet(block)
+                    if left and len(mine) == number:
+                        mine.append(block)
+                        left -= 1
+                    else:
+                        yield best(block)
+        for blocks in opened.values():
+            for block in blocks:
+                yield best(block)
 
     return run
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, tables: Tables | None = None) -> DataFrame:
     """`candidates` and `queries` as `quantise` gives them (integers). One row per
     query and rank: query_id, rank, vec_id, score."""
-    path = new_path(candidates.sparkSession, "query-blocks")
+    spark = candidates.sparkSession
+    path = (tables or Tables(spark)).own(new_path(spark, "query-blocks"))
     once = queries.groupBy("vec_id").agg(F.min("q").alias("q"))
-    once.write.parquet(path)
+    picked = candidates.orderBy(F.xxhash64("vec_id"), "vec_id", "q").limit(SEED).collect()  # at most SEED vectors
+    sample = {n: [r for r in picked if len(r.q) == n] for n in {len(r.q) for r in picked}}
+    sample = {n: (np.array([r.vec_id for r in rows]), np.array([r.q for r in rows], np.int64)) for n, rows in sample.items()}
+    once.mapInArrow(_seeder(sample, k), "vec_id long, q array<long>, floor long").write.parquet(path)
     uri = path if "://" in path else f"file://{path}" if path.startswith("/") else path.replace("file:", "file://", 1)
     found = candidates.mapInArrow(_searcher(uri, k), FOUND)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
