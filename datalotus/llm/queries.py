@@ -10,6 +10,8 @@ from datalotus.llm import bpe_codec, exact_dedup, language_id, mixing, near_dedu
 from datalotus.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
+#: The session's setting for the secret of surrogates; synthetic documents need none.
+PII_KEY, OPEN_KEY = "spark.datalotus.pii.key", "synthetic documents"
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +72,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, OPEN_KEY)).select("doc_id", "text", "n_entities")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
