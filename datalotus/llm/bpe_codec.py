@@ -13,8 +13,8 @@ agree or the text's ends are reached. A stretch lies between safe places: spaces
 a non-space follows, where a pre-token starts in every context. A chunk without two
 safe places is added to the text to encode again.
 
-The chunks stay in the tasks that read them, and a worker forgets chunks once their
-ids and keys pass `CHUNK_BYTES`; a chunk is then encoded again, with the same ids. A
+The chunks stay in the tasks that read them, and a worker forgets chunks at the end
+of a task and once their ids and keys pass `CHUNK_BYTES`; a chunk is then encoded again, with the same ids. A
 tokenizer whose pre-tokens don't start at spaces (`Pieces.splits` is false) has no
 safe places, so its texts are encoded whole.
 
@@ -97,6 +97,11 @@ class ChunkEncoder:
         head = encode(places[0], places[1])
         return (places[0], places[3], whole, places[1], head, places[2], encode(places[2], places[3]))
 
+    def forget(self) -> None:
+        """Drop the chunks and half of the pieces: an idle worker holds little."""
+        self.chunks, self.old, self.held = {}, {}, 0
+        self.pieces.forget()
+
     @staticmethod
     def _last_two(chunk: bytes, second: int) -> tuple[int, int]:
         found, at = [], len(chunk)
@@ -156,6 +161,7 @@ def _coder(path: str, at: int | None, decode: bool):  # noqa: ANN202
                 new = [pa.ListArray.from_arrays(pa.array(offsets), values), *([pa.array(decoded, pa.string())] if decode else [])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(parts)), *new], names=names)
                 start += len(parts)
+        coder.forget()
         trim()
 
     return run

@@ -18,7 +18,7 @@ from array import array
 
 import numpy as np
 
-CACHE = 300_000
+CACHE = 150_000
 LONGEST = 64  # longer pieces aren't kept
 #: Pre-token pattern with the white space spelled out (Unicode White_Space).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -50,6 +50,10 @@ class _Cache(dict):
             self[key] = value
         return value
 
+    def forget(self) -> None:
+        """Drop the old generation."""
+        self.old = {}
+
 
 class Pieces:
     """Ids of texts as little-endian int32 bytes."""
@@ -103,6 +107,12 @@ class Pieces:
         return self._parts(first) + ids if first else ids
 
 
+    def forget(self) -> None:
+        """What an idle worker needn't hold: the caches' old generations."""
+        self.pre_tokens.forget()
+        self.pieces.forget()
+
+
 class Lengths:
     """Token counts of texts: a table of frequent pieces, then a cache."""
 
