@@ -556,9 +556,9 @@ def q_pii_counts(spark, sf):
     return quality.privacy_audit(read(spark, sf, "documents"), ["text"]).select("column", "email")
 
 
-@query(C + "SELECT id, CASE WHEN regexp_full_match(citizen_id, '[0-9]{13}') THEN '[ID_' || substr(sha256(citizen_id), 1, 8) || ']' ELSE citizen_id END AS citizen_id FROM c")
+@query(C + "SELECT id, CASE WHEN regexp_full_match(citizen_id, '[0-9]{13}') THEN '[ID_' || translate(substr(sha256('a key:' || sha256('a key:' || citizen_id)), 1, 32), '0123456789', 'ghijklmnop') || ']' ELSE citizen_id END AS citizen_id FROM c")
 def q_anonymize(spark, sf):
-    return privacy.anonymize(contacts(spark, sf).select("id", "citizen_id"), ["citizen_id"])
+    return privacy.anonymize(contacts(spark, sf).select("id", "citizen_id"), ["citizen_id"], "a key")
 
 
 @query()

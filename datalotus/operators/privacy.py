@@ -25,14 +25,18 @@ def token_map(df: DataFrame, columns: Sequence[str], pattern: str, label: str) -
     return d.select("value", F.concat(F.lit(f"[{label}_"), F.row_number().over(Window.orderBy("value")).cast("string"), F.lit("]")).alias("token"))
 
 
-def _token(label: str) -> Callable[[Column], Column]:
-    return lambda m: F.concat(F.lit(f"[{label}_"), F.substring(F.sha2(m.cast("binary"), 256), 1, 8), F.lit("]"))
+def _token(label: str, key: str) -> Callable[[Column], Column]:
+    """128 bits of a hash that nobody without the key can recompute from a guess."""
+    inner = lambda m: F.sha2(F.concat(F.lit(key), F.lit(":"), m).cast("binary"), 256)
+    outer = lambda m: F.substring(F.sha2(F.concat(F.lit(key), F.lit(":"), inner(m)).cast("binary"), 256), 1, 32)
+    # letters only, so that a later pattern finds no number in a token
+    return lambda m: F.concat(F.lit(f"[{label}_"), F.translate(outer(m), "0123456789", "ghijklmnop"), F.lit("]"))
 
 
-def anonymize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def anonymize(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
     """Citizen ids, then phone numbers, replaced by stable tokens; nulls stay null.
 
-    Tokens are keyed hashes of the value, so no map is joined to the rows and the
+    Tokens are hashes of the value keyed by the caller's secret `key`, so no map is joined to the rows and the
     same value has one token in every column and partition.
     """
     out = df
@@ -40,7 +44,7 @@ def anonymize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for c in columns:
             x = F.col(f"`{c}`")
             found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
-            new = F.transform(found, _token(label))
+            new = F.transform(found, _token(label, key))
             pieces = F.split(x, pattern, -1)
             out = out.withColumn(c, F.when(F.size(found) > 0, F.array_join(F.zip_with(pieces, F.concat(new, F.array(F.lit(""))), lambda p, t: F.concat(p, t)), "")).otherwise(x))
     return out

@@ -3,6 +3,7 @@ the user; what is sent depends on the privacy mode."""
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ def prepare(df: DataFrame, result: Profile, mode: str = "insight_only", epsilon:
         out["summary"] = table if mode == "summary" else [{"column": r["column"], **privacy.noisy_summary({k: r[k] for k in ("count", "mean", "min", "max", "distinct")}, epsilon)} for r in table]
     if mode == "anonymized":
         text = [c for c, t in df.dtypes if t == "string"]
-        out["rows"] = [r.asDict() for r in privacy.anonymize(df, text).limit(rows).collect()]
+        out["rows"] = [r.asDict() for r in privacy.anonymize(df, text, secrets.token_hex(16)).limit(rows).collect()]
     if mode == "synthetic":
         out["rows"] = [r.asDict() for r in privacy.synthetic(df, rows).collect()]
     return out

@@ -221,8 +221,8 @@ def test_detection(spark, sf):
 
 def test_privacy(spark):
     df = spark.createDataFrame([("call 0812345678 or 0812345678, id 1101700207030", 1), (None, 2)], "t string, i int")
-    rows = [r.t for r in privacy.anonymize(df, ["t"]).collect()]
-    assert rows[1] is None and "0812345678" not in rows[0] and rows[0].count("[PHONE_") == 2
+    rows, other = ([r.t for r in privacy.anonymize(df, ["t"], key).collect()] for key in ("k", "l"))
+    assert rows[0] != other[0] and rows[1] is None and "0812345678" not in rows[0] and rows[0].count("[PHONE_") == 2
     made = privacy.synthetic(df.withColumn("v", F.col("i") * 1.5), 50)
     assert made.count() == 50 and made.columns == ["t", "i", "v"]
     assert set(privacy.noisy_summary({"mean": 1.0, "std": 2.0}, 1.0, 1)) == {"mean"}
