@@ -13,6 +13,9 @@ agree or the text's ends are reached. A stretch lies between safe places: spaces
 a non-space follows, where a pre-token starts in every context. A chunk without two
 safe places is added to the text to encode again.
 
+The new pieces (runs between spaces) of about 1 MB of texts are encoded in one call of
+the library before the texts themselves, which then mostly join known ids.
+
 The chunks stay in the tasks that read them, and a worker forgets chunks at the end
 of a task and once their ids and keys pass `CHUNK_BYTES`; a chunk is then encoded again, with the same ids. A
 tokenizer whose pre-tokens don't start at spaces (`Pieces.splits` is false) has no
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datalotus.llm.byte_bpe import Decoder, Pieces, shared
-from datalotus.llm.common import column, row, trim
+from datalotus.llm.common import column, row, slices, trim
 
 MASK, LEAST = (1 << 10) - 1, 64  # chunks of 1 KB on average
-CHUNK_BYTES = 48 << 20  # of ids and keys kept by a worker
-ROWS, BYTES = 512, 4 << 20  # of an output batch
+CHUNK_BYTES = 32 << 20  # of ids and keys kept by a worker
+PIECES, PRE_TOKENS = 80_000, 10_000  # of each generation kept by a worker
+ROWS, BYTES = 512, 1 << 20  # of texts coded at once
 _SAFE = re.compile(rb" (?=[\x21-\x7e\xc3-\xdf])")
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -65,8 +70,9 @@ def cuts(data: bytes) -> list[int]:
 
 class ChunkEncoder:
     def __init__(self, path: str) -> None:
-        self.pieces = Pieces(path)
-        self.decoder = Decoder(path)
+        self.pieces = Pieces(path, PIECES, PRE_TOKENS)
+        self.decoder = Decoder(path, self.pieces.tokenizer)
+        self.decimals: list[bytes] = []
         self.chunks: dict[bytes, tuple] = {}
         self.old: dict[bytes, tuple] = {}
         self.held = self.hits = self.widened = 0
@@ -111,13 +117,29 @@ class ChunkEncoder:
                 found.append(at)
         return (found[1], found[0]) if len(found) == 2 else (_SAFE.search(chunk).start(), second)
 
+    def learn(self, texts: list[str]) -> None:
+        """Learn the pieces of texts that are encoded next; long texts are learnt by and by."""
+        self.pieces.learn([t for t in texts if len(t) <= BYTES])
+
+    def digests(self, ids: bytes) -> tuple[int, str, str]:
+        """Number of ids, SHA-256 of them as a list with commas and of the decoded text."""
+        if not self.decimals:
+            self.decimals = [b"%d" % i for i in range(len(self.decoder.lengths))]
+        each = np.frombuffer(ids, np.int32)
+        text = self.decoder.decode(each).decode("utf-8", "replace")
+        return len(each), sha256(b",".join(map(self.decimals.__getitem__, each.tolist()))).hexdigest(), sha256(text.encode()).hexdigest()
+
     def encode(self, text: str) -> bytes:
         if not self.pieces.splits:
             return self.pieces.encode(text)
         data = text.encode()
+        learnt = 0 if len(text) > BYTES else len(data)
         done: list[tuple[int, bytes, bytes]] = []  # settled ids, with the seam and known ids before them
         seam, known, start = 0, b"", 0  # text from `seam` on is open; its first ids must be `known`
         for end in cuts(data):
+            if end > learnt:
+                learnt = max(end, start + BYTES)
+                self.pieces.learn([data[start:learnt].decode("utf-8", "ignore")])
             chunk = self._chunk(data[start:end])
             if chunk is not None:
                 first, last, ids, upto, head, tail_at, tail = chunk
@@ -139,30 +161,32 @@ class ChunkEncoder:
         return b"".join([d[2] for d in done]) + joint[len(known) :]
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, at: int | None) -> Iterator[tuple[pa.Array, ChunkEncoder, list[bytes]]]:
+    """The first column's rows, in runs, with their ids. Texts are the column's field
+    `at`, or the second column."""
+    coder = shared(ChunkEncoder, path)
+    for batch in batches:
+        for part in slices(batch, batch.column(1) if at is None else batch.column(0).field(at), BYTES):
+            for start in range(0, part.num_rows, ROWS):
+                run = part.slice(start, ROWS)
+                texts = [t or "" for t in (run.column(1) if at is None else run.column(0).field(at)).to_pylist()]
+                coder.learn(texts)
+                yield run.column(0), coder, [coder.encode(t) for t in texts]
+    coder.forget()
+    trim()
+
+
 def _coder(path: str, at: int | None, decode: bool):  # noqa: ANN202
-    """Batches of the first column with ids (and decoded). Texts are the column's
-    field `at`, or the second column."""
+    """Batches of the first column with ids (and decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = shared(ChunkEncoder, path)
-        for batch in batches:
-            names = [batch.schema.names[0], "ids", *["decoded"] * decode]
-            texts, start = batch.column(1) if at is None else batch.column(0).field(at), 0
-            while start < batch.num_rows:
-                parts, decoded, size = [], [], 0
-                while start + len(parts) < batch.num_rows and len(parts) < ROWS and size < BYTES:
-                    ids = coder.encode(texts[start + len(parts)].as_py() or "")
-                    parts.append(ids)
-                    size += len(ids)
-                    if decode:
-                        decoded.append(coder.decoder.decode(np.frombuffer(ids, np.int32)).decode("utf-8", "replace"))
-                offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
-                values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
-                new = [pa.ListArray.from_arrays(pa.array(offsets), values), *([pa.array(decoded, pa.string())] if decode else [])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(parts)), *new], names=names)
-                start += len(parts)
-        coder.forget()
-        trim()
+        for first, coder, parts in _encoded(batches, path, at):
+            offsets = np.cumsum([0, *(len(p) // 4 for p in parts)]).astype(np.int32)
+            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(parts))])
+            columns = [first, pa.ListArray.from_arrays(pa.array(offsets), values)]
+            if decode:
+                columns.append(pa.array([coder.decoder.decode(np.frombuffer(p, np.int32)).decode("utf-8", "replace") for p in parts], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "ids", "decoded"][: len(columns)])
 
     return run
 
@@ -198,7 +222,12 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Dat
 
 def digest(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    coded = _coded(docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")), tokenizer_path, None, True)
-    shown = F.col("ids").cast("string")  # [1, 2, 3]
-    listed = F.replace(F.substring(shown, F.lit(2), F.length(shown) - 2), F.lit(", "), F.lit(","))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, coder, parts in _encoded(batches, tokenizer_path, None):
+            counts, ids, decoded = zip(*map(coder.digests, parts), strict=True)
+            yield pa.RecordBatch.from_arrays([first, pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
+    new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return rows.mapInArrow(run, T.StructType([rows.schema.fields[0], *new]))

@@ -15,6 +15,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterable
 
 import numpy as np
 
@@ -50,6 +51,12 @@ class _Cache(dict):
             self[key] = value
         return value
 
+    def put(self, items: dict) -> None:
+        if len(self) + len(items) > self.size:
+            self.old = dict(self)
+            self.clear()
+        self.update(items)
+
     def forget(self) -> None:
         """Drop the old generation."""
         self.old = {}
@@ -58,7 +65,7 @@ class _Cache(dict):
 class Pieces:
     """Ids of texts as little-endian int32 bytes."""
 
-    def __init__(self, path: str, cache: int = CACHE) -> None:
+    def __init__(self, path: str, cache: int = CACHE, pre_tokens: int | None = None) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -80,8 +87,9 @@ class Pieces:
         )
         self.marks = tuple({s[:2] for s in self.specials})
         self.findall = regex.compile(_PATTERN).findall
-        self.pre_tokens = _Cache(self.whole, cache)
+        self.pre_tokens = _Cache(self.whole, pre_tokens or cache)
         self.pieces = _Cache(self._piece, cache)
+        self.sizes = np.zeros(0, np.int64)
 
     def whole(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -96,6 +104,37 @@ class Pieces:
             raise Unsafe
         return self._parts(" " + piece)
 
+    def learn(self, texts: Iterable[str]) -> None:
+        """Encode the texts' new pieces in one call of the library. Joined by spaces each
+        still starts a pre-token, and the tokens' lengths in bytes tell which ids are its
+        own; if they don't add up, nothing is kept. Ids don't depend on what is learnt."""
+        if not self.splits:
+            return
+        if not len(self.sizes):
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.sizes[list(vocab.values())] = list(map(len, vocab))  # a character stands for a byte
+        seen = set().union(*[text.split(" ") for text in texts]) - {""}
+        new = [p for p in seen if p not in self.pieces and len(p) <= LONGEST and not p[:1].isspace()][: self.pieces.size]
+        old = self.pieces.old
+        known = {p: old[p] for p in new if p in old}  # else they could be dropped before their use
+        self.pieces.put(known)
+        new = [p for p in new if p not in known]
+        joined = " " + " ".join(new)
+        if any(m in joined for m in self.marks):
+            new = [p for p in new if not any(m in p for m in self.marks)]
+            joined = " " + " ".join(new)
+        if not new:
+            return
+        data = joined.encode()
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32)[1:], len(data))
+        reached = np.cumsum(self.sizes[ids])
+        stops = np.searchsorted(reached, ends)
+        if len(ids) and reached[-1] == len(data) and (reached[stops] == ends).all():
+            raw, to = ids.tobytes(), ((stops + 1) * 4).tolist()
+            self.pieces.put({p: raw[a:b] for p, a, b in zip(new, [0, *to], to)})
+
     def encode(self, text: str) -> bytes:
         if not self.splits:
             return self.whole(text)
@@ -106,7 +145,6 @@ class Pieces:
             return self._parts(text)
         return self._parts(first) + ids if first else ids
 
-
     def forget(self) -> None:
         """What an idle worker needn't hold: the caches' old generations."""
         self.pre_tokens.forget()
@@ -136,10 +174,10 @@ class Lengths:
 class Decoder:
     """Bytes of ids, by one table lookup for all ids of a text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, tokenizer=None) -> None:  # noqa: ANN001
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
+        tokenizer = tokenizer or Tokenizer.from_file(path)
         back = {c: b for b, c in _byte_characters().items()}
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         parts = []

@@ -157,6 +157,22 @@ def test_chunks_are_reused(pairs):
     assert coder.encode("Other start. " + text)[-400:] == first[-400:] and coder.hits > made + 2
 
 
+def test_new_pieces_are_learnt_in_one_call(pairs):
+    """A run of texts costs one call of the library and not one for each piece, and
+    workers hold few pieces; ids are those of the library."""
+    library = Tokenizer.from_file(PATH)
+    coder, calls = bpe_codec.ChunkEncoder(PATH), []
+    whole = coder.pieces.pre_tokens.make = lambda text: calls.append(text) or Pieces.whole(coder.pieces, text)
+    coder.pieces.whole = whole
+    texts = [f"x{i} no{i * i}, caf\u00e9{i}.\nNext{i}" for i in range(3000)] + ["a <|endoftext|> b\u0e01\u0e02 c", "  d  e\u00a0f ", ""]
+    coder.learn(texts)
+    for text in [*texts, "long text " * 150_000]:
+        assert coder.encode(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids)
+    assert len(calls) < 4000  # the first piece of a text is not learnt
+    coder.pieces.learn([" ".join(f"p{i}" for i in range(at, at + 60_000)) for at in range(0, 300_000, 60_000)])
+    assert len(coder.pieces.pieces) + len(coder.pieces.pieces.old) <= 2 * bpe_codec.PIECES
+
+
 def test_joins_are_repaired_until_both_sides_agree(pairs):
     """Chunks whose own ids at an end are not those of the whole text: the text to
     encode again grows until both sides agree."""
