@@ -5,8 +5,11 @@ Vectors are cut into segments; for two vectors the squared distance is at least
     sum over segments of m * ((mean_a - mean_b)**2 + (dev_a - dev_b)**2),
 coarse segments first, then finer ones. As |a - b|**2 = |a|**2 + |b|**2 - 2ab, a
 candidate whose lower bound exceeds |a|**2 + |b|**2 - 2 * (k-th best score so far)
-can't enter the top k and is left out; the exact product is computed for the
-survivors only. Ties at the k-th score survive, so smaller ids win as asked.
+can't enter the top k and is left out. In the products' terms: the dot product of
+the two rows of statistics bounds ab from above and must reach the k-th best score.
+Where few pairs of a tile survive, the exact product is computed for the survivors;
+where many do (random vectors), the tile is multiplied whole, which is faster than
+picking pairs and just as exact: float32 below 2**24, float64 below 2**53. Ties at the k-th score survive, so smaller ids win as asked.
 
 First `SEED` candidates, chosen by a hash, are scored with all queries; the k-th
 best of them is each query's first floor. The query set is written to the shared
@@ -42,6 +45,7 @@ from datalotus.llm.common import Tables, column, new_path
 
 BLOCK, PIECE, PAIRS = 2048, 4096, 1 << 15
 SEED, OPEN = 1024, 32
+TILE, DENSE = 256, 32  # queries of a tile; a tile with more than a DENSE-th of its pairs left is multiplied whole
 SEGMENTS = (4, 16)
 
 _NONE = np.iinfo(np.int64).min
@@ -74,6 +78,22 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([sum(x * y for x, y in zip(p, q, strict=True)) for p, q in zip(a.tolist(), b.tolist(), strict=True)], dtype=np.int64)
 
 
+class _Piece:
+    """Up to `PIECE` candidates in the order of their ids, prepared once for all blocks."""
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray) -> None:
+        order = np.argsort(ids, kind="stable")
+        ids, y = ids[order], y[order]
+        z = y.astype(float)
+        self.ids, self.y, self.kinds = ids, y, {}
+        self.norm, self.stats = (z * z).sum(axis=1), [_stats(z, s) for s in SEGMENTS]
+
+    def as_kind(self, kind: type) -> np.ndarray:
+        if kind not in self.kinds:
+            self.kinds[kind] = self.y.astype(kind)
+        return self.kinds[kind]
+
+
 class _Block:
     def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> None:
         x = q.astype(float)
@@ -97,36 +117,55 @@ class _Block:
         self.floor[at] = np.maximum(self.floor[at], self.s[full])
         self.known[at] = True
 
-    def exact(self, qi: np.ndarray, ci: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
-        for at in range(0, len(qi), PAIRS):
-            a, b = qi[at : at + PAIRS], ci[at : at + PAIRS]
-            s = _products(self.exact_x[a], y[b])
+    def search(self, piece: _Piece) -> None:
+        hits = []
+        for at in range(0, len(self.ids), TILE):
+            rows = slice(at, at + TILE)
+            other = self.ids[rows, None] != piece.ids[None, :]
+            slack = 1e-9 * (self.norm[rows] + piece.norm.max()) + 1e-6
+            least = np.where(self.known[rows], self.floor[rows].astype(float), -np.inf)
+            passed = (self.stats[0][rows] @ piece.stats[0].T >= (least - slack)[:, None]) & other
+            left = np.count_nonzero(passed)
+            most = np.sqrt(self.norm[rows].max() * piece.norm.max()) * (1 + 1e-9)
+            if left * DENSE > passed.size and most < 2.0**53:
+                hits.append(self._dense(at, rows, other, piece, np.float32 if most < 2.0**24 else np.float64))
+            elif left:
+                self._sparse(at, passed, slack, piece)
+        if hits:
+            self.add(*map(np.concatenate, zip(*hits, strict=True)))
+
+    def _dense(self, at: int, rows: slice, other: np.ndarray, piece: _Piece, kind: type) -> tuple:
+        """All products of a tile at once. Each partial sum is an integer below the
+        product of the lengths, which `kind` holds exactly."""
+        s = self.exact_x[rows].astype(kind) @ piece.as_kind(kind).T
+        good = other & (s >= self.floor[rows].astype(kind)[:, None])
+        if np.count_nonzero(good) > 4 * self.k * len(s) and s.shape[1] > self.k:
+            # first floors or many ties: the piece's k best of each query will do, of equal ones the smallest ids
+            s = np.where(other, s, -np.inf)
+            least = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k, None]
+            tied = (s == least) & other
+            good &= (s > least) | (tied & (np.cumsum(tied, axis=1) <= self.k))
+        q, c = np.nonzero(good)
+        return q + at, piece.ids[c], s[q, c].astype(np.int64)
+
+    def _sparse(self, at: int, passed: np.ndarray, slack: np.ndarray, piece: _Piece) -> None:
+        """The products of the pairs that the fine segments leave."""
+        if not self.known[at : at + TILE].all():  # the nearest by the coarse bound give a floor
+            upper = np.where(passed, self.stats[0][at : at + TILE] @ piece.stats[0].T, -np.inf)
+            near = np.argpartition(-upper, min(self.k, upper.shape[1] - 1), axis=1)[:, : self.k]
+            q, c = np.repeat(np.arange(len(near)), near.shape[1]), near.ravel()
+            q, c = q[passed[q, c]], c[passed[q, c]]
+            self.add(q + at, piece.ids[c], _products(self.exact_x[q + at], piece.y[c]))
+            passed[q, c] = False
+        q, c = np.nonzero(passed)
+        for i in range(0, len(q), PAIRS):
+            a, b = q[i : i + PAIRS], c[i : i + PAIRS]
+            least = np.where(self.known[a + at], self.floor[a + at].astype(float), -np.inf) - slack[a]
+            fine = np.einsum("ij,ij->i", self.stats[1][a + at], piece.stats[1][b]) >= least
+            a, b = a[fine] + at, b[fine]
+            s = _products(self.exact_x[a], piece.y[b])
             good = ~self.known[a] | (s >= self.floor[a])
-            self.add(a[good], ids[b[good]], s[good])
-
-    def search(self, ids: np.ndarray, y: np.ndarray, norm: np.ndarray, stats: list[np.ndarray]) -> None:
-        for at in range(0, len(self.ids), 256):
-            rows = slice(at, at + 256)
-            both = self.norm[rows, None] + norm[None, :]
-            low = both - 2 * (self.stats[0][rows] @ stats[0].T)
-            other = self.ids[rows, None] != ids[None, :]
-            low[~other] = np.inf
-            if not self.known[rows].all():  # first piece: the nearest by the coarse bound give a floor
-                near = np.argpartition(low, min(self.k, low.shape[1] - 1), axis=1)[:, : self.k]
-                q = np.repeat(np.arange(low.shape[0]), near.shape[1])
-                c = near.ravel()
-                seen = np.isfinite(low[q, c])
-                self.exact(q[seen] + at, c[seen], ids, y)
-                low[q, c] = np.inf
-            limit = np.where(self.known[rows, None], both - 2.0 * self.floor[rows, None], np.inf)
-            slack = 1e-9 * both + 1e-6
-            q, c = np.nonzero((low <= limit + slack) & np.isfinite(low))
-            fine = np.empty(len(q), bool)
-            for i in range(0, len(q), PAIRS):
-                a, b = q[i : i + PAIRS], c[i : i + PAIRS]
-                bound = both[a, b] - 2 * np.einsum("ij,ij->i", self.stats[1][a + at], stats[1][b])
-                fine[i : i + PAIRS] = bound <= limit[a, b] + slack[a, b]
-            self.exact(q[fine] + at, c[fine], ids, y)
+            self.add(a[good], piece.ids[b[good]], s[good])
 
 
 def _blocks(path: str, dim: int, skip: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -184,14 +223,12 @@ def _searcher(path: str, k: int):  # noqa: ANN202
 
         for batch in batches:
             for dim, ids, y, _ in _matrices(batch):
-                z = y.astype(float)
-                norm, stats = (z * z).sum(axis=1), [_stats(z, s) for s in SEGMENTS]
+                pieces = [_Piece(ids[at : at + PIECE], y[at : at + PIECE]) for at in range(0, len(ids), PIECE)]
                 mine = opened.setdefault(dim, [])
 
                 def meet(block: _Block) -> None:
-                    for at in range(0, len(ids), PIECE):
-                        p = slice(at, at + PIECE)
-                        block.search(ids[p], y[p], norm[p], [s[p] for s in stats])
+                    for piece in pieces:
+                        block.search(piece)
 
                 for block in mine:
                     meet(block)

@@ -278,6 +278,34 @@ def test_top_k_blocks_and_seeds(spark, monkeypatch):
     assert {tuple(r) for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect()} == brute.top_k(rows)
 
 
+def test_top_k_multiplies_whole_tiles_where_bounds_leave_most_pairs(monkeypatch):
+    """Vectors for which segment statistics say little, small, beyond float32 and beyond
+    float64: results are those of brute force, and only the last ones go pair by pair."""
+    import numpy as np
+
+    pairs, products = [], topk._products
+    monkeypatch.setattr(topk, "_products", lambda a, b: pairs.append(len(a)) or products(a, b))
+    rng = np.random.default_rng(1)
+    for scale, whole in ((100, True), (100_000, True), (1 << 27, False)):
+        y = rng.integers(-scale, scale, (900, 32))
+        y[700:] = y[:200]  # ties
+        ids, mine = rng.permutation(900), np.arange(0, 900, 50)
+        pairs.clear()
+        block = topk._Block(ids[mine], y[mine], np.full(len(mine), topk._NONE), 5)
+        for at in range(0, 900, 300):
+            block.search(topk._Piece(ids[at : at + 300], y[at : at + 300]))
+        found = {(int(block.ids[q]), int(v), int(s)) for q, v, s in zip(block.q, block.v, block.s, strict=True)}
+        want = set()
+        for i in mine:
+            best = sorted((-sum(a * b for a, b in zip(y[i].tolist(), y[j].tolist())), int(ids[j])) for j in range(900) if j != i)[:5]
+            want |= {(int(ids[i]), j, -s) for s, j in best}
+        assert found == want and (sum(pairs) == 0) == whole
+    same = topk._Block(np.arange(3), np.ones((3, 4), np.int64), np.full(3, topk._NONE), 5)
+    for ids in (np.arange(4000, 2000, -1), np.arange(2000)):  # all equal: the smallest ids win
+        same.search(topk._Piece(ids, np.ones((len(ids), 4), np.int64)))
+    assert [same.v[same.q == i].tolist() for i in range(3)] == [[1, 2, 3, 4, 5], [0, 2, 3, 4, 5], [0, 1, 3, 4, 5]]
+
+
 def test_language_id(spark, docs):
     rows = language_id.identify(docs).collect()
     lang = {r.doc_id: r.lang for r in docs.collect()}
