@@ -98,6 +98,39 @@ def test_near_second_pass_links_without_head(spark, monkeypatch):
     assert found == brute.near(list(enumerate(texts)))
 
 
+def test_near_repeated_rows_stay_apart(spark):
+    """Unrelated texts, each repeated under its own id: their fingerprints don't cancel."""
+    rows = near_dedup.near_groups(frame(spark, ["a b c", "a b c", "x y z", "x y z"], ids=[1, 1, 2, 2])).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows) == [(1, 1, True), (1, 1, True), (2, 2, True), (2, 2, True)]
+
+
+@pytest.mark.parametrize("sample", [1, 16])
+def test_near_second_pass_writes_no_distant_pairs(spark, monkeypatch, sample):
+    """Edits of one text at J of about 0.6 share lists; their pairs end in the join, and
+    the chain that is linked in the second pass is still found."""
+    monkeypatch.setattr(near_dedup, "SAMPLE", sample)
+    written, write = [], near_dedup.materialize
+
+    def counted(df, label, tables=None):
+        made = write(df, label, tables)
+        if label == "met-rest":
+            written.append(made.count())
+        return made
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"e{d}x{i}" if (i * 7 + d * 31) % 17 == 0 else w for i, w in enumerate(base)) for d in range(17)]
+    docs = list(enumerate(texts))
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(frame(spark, texts)).collect()}
+    assert found == brute.near(docs) and len({c for _, c, _ in found.values()}) == 17
+    assert sum(written) <= 5
+    written.clear()
+    words = [f"v{i}" for i in range(200)]
+    chain = [" ".join(words[k : k + 100]) for k in range(0, 60, 5)]
+    found = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_groups(frame(spark, chain)).collect()}
+    assert found == brute.near(list(enumerate(chain))) and len({c for _, c, _ in found.values()}) == 1
+
+
 def test_mixing(spark, docs):
     rows = mixing.assign(docs).collect()
     sizes = {}
