@@ -275,8 +275,10 @@ PROVINCES = ("กรุงเทพมหานคร", "กรุงเทพ",
 def parse_address(c: Column) -> Column:
     """Struct of house_no, moo, subdistrict, district, province, postal_code."""
     text = arabic_digits(c)
-    postal = F.regexp_extract(text, "(?<![0-9])([1-9][0-9]{4})(?![0-9])", 1)
-    bare = F.regexp_replace(text, "(?<![0-9])[1-9][0-9]{4}(?![0-9])", "")
+    # the last five digits that stand alone: before them, a house number may have five digits too
+    code = "(?<![0-9])(?<![0-9]/)([1-9][0-9]{4})(?!/?[0-9])"
+    postal = F.regexp_extract(text, f"(?s)^.*{code}", 1)
+    bare = F.regexp_replace(text, f"(?s)^(.*){code}", "$1")
     part = lambda pattern: F.nullif(F.regexp_extract(bare, pattern, 1), F.lit(""))
     named = part("(?:จังหวัด|จ\\.)\\s*([ก-๎]+)")
     return F.struct(

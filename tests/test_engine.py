@@ -48,6 +48,11 @@ def test_text_expressions(spark):
     assert indel_ratio("abc", "abd") == pytest.approx(4 / 6) and indel_ratio("", "") == 1.0
 
 
+def test_house_numbers_of_five_digits_are_no_postal_codes(spark):
+    parts = cells(spark, ["10000/1 หมู่ 2 ต.บางพลี จ.ชลบุรี 20000", "12345 หมู่ 3 จ.ชลบุรี ๒๐๐๐๐", "7/12345 จ.ชลบุรี", "9 ต.บางพลี 10540"], X.parse_address)
+    assert [(p.house_no, p.moo, p.postal_code) for p in parts] == [("10000/1", "2", "20000"), ("12345", "3", "20000"), ("7/12345", None, None), ("9", None, "10540")]
+
+
 def test_citizen_id_check_digit(spark):
     base = "110170020703"
     check = (11 - sum((13 - i) * int(c) for i, c in enumerate(base)) % 11) % 10
