@@ -47,14 +47,33 @@ def vocabulary(df: DataFrame, column: str) -> DataFrame:
     return t.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("unique")).withColumn("richness", F.col("unique") / F.col("total"))
 
 
+def term_counts(df: DataFrame, words: str) -> DataFrame:
+    """`df` with total, term and c in the place of its array `words`: one row per
+    different word, counted in the row itself, so that no words are shuffled."""
+    rest = [c for c in df.columns if c != words]
+    s = df.select(*rest, F.size(words).alias("total"), F.sort_array(words).alias("__s"))
+    # tokens are never empty, so the last position ends a run as well
+    ends = F.filter(F.sequence(F.lit(1), F.col("total")), lambda i: F.element_at("__s", i) != F.coalesce(F.try_element_at("__s", i + 1), F.lit("")))
+    e = s.where(F.col("total") > 0).select("*", ends.alias("__e"))
+    before = F.concat(F.array(F.lit(0)), F.slice("__e", F.lit(1), F.size("__e") - 1))
+    runs = F.zip_with("__e", before, lambda a, b: F.struct(F.element_at("__s", a).alias("term"), (a - b).alias("c")))
+    return e.select(*rest, "total", F.inline(runs))
+
+
 def tfidf(df: DataFrame, column: str, by: str | None = None, k: int = 20, id_column: str | None = None) -> DataFrame:
-    """Summed tf-idf per term (and class): idf = ln((1+N)/(1+df)) + 1, tf = count/total."""
-    keyed = df.where(F.col(f"`{column}`").isNotNull()).select(*([F.col(f"`{by}`").alias("class")] if by else [F.lit("all").alias("class")]), (F.col(f"`{id_column}`") if id_column else F.monotonically_increasing_id()).alias("doc"), tokens(F.col(f"`{column}`")).alias("w")).where(F.size("w") > 0)
-    counts = keyed.select("class", "doc", F.size("w").alias("total"), F.explode("w").alias("term")).groupBy("class", "doc", "total", "term").agg(F.count(F.lit(1)).alias("c"))
-    df_t = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Summed tf-idf per term (and class): idf = ln((1+N)/(1+df)) + 1, tf = count/total.
+
+    Rows of one id, class and length count as one document in df, as two rows in N.
+    """
+    keyed = df.where(F.col(f"`{column}`").isNotNull()).select(*([F.col(f"`{by}`").alias("class")] if by else [F.lit("all").alias("class")]), *([F.col(f"`{id_column}`").alias("doc")] if id_column else []), tokens(F.col(f"`{column}`")).alias("w")).where(F.size("w") > 0)
     n = keyed.agg(F.count(F.lit(1)).alias("docs"))
-    tf = counts.groupBy("class", "term").agg(F.sum(F.col("c") / F.col("total")).alias("tf"))
-    scored = tf.join(df_t, "term").join(F.broadcast(n)).withColumn("score", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))  # one row
+    ids = df.groupBy(F.col(f"`{id_column}`")).agg(F.count(F.lit(1)).alias("n")).where("n > 1") if id_column else None
+    if ids is None or ids.isEmpty():
+        counts = term_counts(keyed.drop("doc"), "w")
+    else:  # the texts are shuffled once only where ids are repeated
+        counts = term_counts(keyed.groupBy("class", "doc", F.size("w").alias("length")).agg(F.flatten(F.collect_list("w")).alias("w")), "w").withColumn("total", F.col("length"))
+    tf = counts.groupBy("class", "term").agg(F.sum(F.col("c") / F.col("total")).alias("tf"), F.count(F.lit(1)).alias("d"))
+    scored = tf.withColumn("df", F.sum("d").over(Window.partitionBy("term"))).join(F.broadcast(n)).withColumn("score", F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1))  # one row
     first = Window.partitionBy("class").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("class", "rank", "term", "score")
 

@@ -53,6 +53,20 @@ def test_house_numbers_of_five_digits_are_no_postal_codes(spark):
     assert [(p.house_no, p.moo, p.postal_code) for p in parts] == [("10000/1", "2", "20000"), ("12345", "3", "20000"), ("7/12345", None, None), ("9", None, "10540")]
 
 
+def test_tfidf_counts_words_in_the_row(spark):
+    rows = [(1, "en", "a b a  c A"), (1, "en", "b x y z w"), (1, "en", "b"), (2, "en", "c"), (3, "de", " b b "), (4, None, "a d"), (5, "de", "  "), (6, "en", None), (None, "en", "c q"), (None, "en", "q c")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, lang VARCHAR, text VARCHAR)")
+    for keep in (rows, [r for i, r in enumerate(rows) if r[0] and i not in (1, 2)]):  # ids repeated, and each once
+        con.execute("DELETE FROM documents")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?)", keep)
+        want = {(r[0], r[2]): r[3] for r in con.execute(catalog.SQL["q_tfidf"]).fetchall()}
+        found = corpus.tfidf(spark.createDataFrame(keep, "doc_id long, lang string, text string"), "text", by="lang", id_column="doc_id")
+        assert {(r["class"], r.term): round(r.score, 4) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc#" not in plan  # nothing is grouped by document
+
+
 def test_citizen_id_check_digit(spark):
     base = "110170020703"
     check = (11 - sum((13 - i) * int(c) for i, c in enumerate(base)) % 11) % 10
