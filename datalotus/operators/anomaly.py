@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from datalotus.functions import text as X
 from datalotus.functions.arrow import indel_ratio, unicode_form
 from datalotus.operators.quality import _issue, _n
-from datalotus.operators.stats import _math, skewness
+from datalotus.operators.stats import _math, median, quantiles, skewness
 
 
 def finite(c: Column) -> Column:
@@ -35,7 +35,8 @@ def outliers_z(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
 
 
 def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
-    both, v = _with_stats(df, column, F.percentile("__v", F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    v = finite(F.col(f"`{column}`"))
+    both = df.join(F.broadcast(quantiles(df, {column: v}, [0.25, 0.75]).select(F.col("q").alias("__q"))))  # one row
     lo, hi = F.col("__q")[0], F.col("__q")[1]
     return both.where((v < lo - k * (hi - lo)) | (v > hi + k * (hi - lo))).drop("__q")
 
@@ -43,8 +44,9 @@ def outliers_iqr(df: DataFrame, column: str, k: float = 1.5) -> DataFrame:
 def outliers_mad(df: DataFrame, column: str, limit: float = 3.5) -> DataFrame:
     """Modified z-score; mean absolute deviation where the MAD is 0."""
     v = finite(F.col(f"`{column}`"))
-    med = df.agg(F.median(v).alias("__med"))
-    dev = df.select(v.alias("__v")).join(F.broadcast(med)).agg(F.first("__med").alias("__med"), F.median(F.abs(F.col("__v") - F.col("__med"))).alias("__mad"), F.avg(F.abs(F.col("__v") - F.col("__med"))).alias("__aad"))
+    away = df.select(v.alias("__v")).join(F.broadcast(median(df, v, "__med")))
+    far = F.abs(F.col("__v") - F.col("__med"))
+    dev = away.agg(F.first("__med").alias("__med"), F.avg(far).alias("__aad")).join(F.broadcast(median(away, far, "__mad")))  # one row each
     scale = F.when(F.col("__mad") > 0, F.col("__mad") / 0.6745).otherwise(1.253314 * F.col("__aad"))
     return df.join(F.broadcast(dev)).where((scale > 0) & (F.abs(v - F.col("__med")) / scale > limit)).drop("__med", "__mad", "__aad")
 

@@ -13,15 +13,11 @@ from datalotus.operators import stats, timeseries
 
 def box(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, q1, median, q3, low, high (whiskers), outliers."""
-    rows = []
-    for c in columns:
-        v = F.col(f"`{c}`").cast("double")
-        rows.append(F.struct(F.lit(c).alias("column"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")))
-    q = df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+    q = stats.quantiles(df, {c: F.col(f"`{c}`") for c in columns}, [0.25, 0.5, 0.75])
     wide = {r.column: r.q for r in q.collect()}
     out = []
     for c in columns:
-        v, (a, m, b) = F.col(f"`{c}`").cast("double"), wide[c] or (None, None, None)
+        v, (a, m, b) = F.col(f"`{c}`").cast("double"), wide.get(c) or (None, None, None)
         if a is None:
             continue
         lo, hi = a - 1.5 * (b - a), b + 1.5 * (b - a)

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from datalotus.functions import text as X
 from datalotus.functions.arrow import nfc
+from datalotus.operators.stats import median, quantiles
 
 OPERATIONS: dict[str, Callable[[Column], Column]] = {
     "encoding": X.repair_mojibake, "zwspace": X.strip_zero_width, "whitespace": X.squeeze, "unicode": nfc, "fullwidth": X.fold_fullwidth, "tonemarks": X.fix_tone_stacking,
@@ -76,8 +77,8 @@ def coerce_numeric(df: DataFrame, columns: Sequence[str], share: float = 0.5) ->
 def normalize_currency(df: DataFrame, column: str) -> DataFrame:
     """Amount columns to double, if a tenth has a currency mark and half are amounts."""
     c = F.col(f"`{column}`")
-    f = df.agg(F.count(c).alias("n"), F.count_if(c.rlike(X.CURRENCY)).alias("marked"), F.count(X.money(c)).alias("amounts"), F.median(F.length(c)).alias("long")).first()
-    fires = f.n and f.marked >= 0.1 * f.n and f.amounts >= 0.5 * f.n and f.long < 25
+    f = df.agg(F.count(c).alias("n"), F.count_if(c.rlike(X.CURRENCY)).alias("marked"), F.count(X.money(c)).alias("amounts")).first()
+    fires = f.n and f.marked >= 0.1 * f.n and f.amounts >= 0.5 * f.n and median(df, F.length(c), "long").first().long < 25
     return df.withColumn(column, X.money(c)) if fires else df
 
 
@@ -105,8 +106,8 @@ def fill_values(df: DataFrame, columns: Sequence[str], strategy: str) -> DataFra
         return df.withColumns({c: F.coalesce(x, F.lit("unknown")) for c, x in cols.items() if isinstance(df.schema[c].dataType, T.StringType)})
     if strategy == "median":
         numeric = [c for c in columns if isinstance(df.schema[c].dataType, T.NumericType)]
-        m = df.agg(*[F.median(cols[c]).alias(c) for c in numeric]).first() if numeric else {}
-        return df.withColumns({c: F.coalesce(cols[c].cast("double"), F.lit(m[c])) for c in numeric})
+        m = {r.column: r.q[0] for r in quantiles(df, {c: cols[c] for c in numeric}, [0.5]).collect()} if numeric else {}
+        return df.withColumns({c: F.coalesce(cols[c].cast("double"), F.lit(m.get(c))) for c in numeric})
     if strategy == "mode":
         modes = {}
         for c in columns:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from datalotus.operators.stats import median
+
 STOPWORDS = frozenset("the a an and or of to in is are was were be for on at by with that this it as from not".split())
 
 
@@ -39,7 +41,8 @@ def text_metrics(df: DataFrame, column: str) -> DataFrame:
     """Lengths in characters and tokens."""
     c = F.col(f"`{column}`")
     rows = df.where(c.isNotNull()).select(F.length(c).alias("chars"), F.size(tokens(c)).alias("tokens"))
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("chars").alias("mean_chars"), F.median("chars").alias("median_chars"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"), F.avg("tokens").alias("mean_tokens"), F.sum("tokens").alias("total_tokens"))
+    m = rows.agg(F.count(F.lit(1)).alias("rows"), F.avg("chars").alias("mean_chars"), F.min("chars").alias("min_chars"), F.max("chars").alias("max_chars"), F.avg("tokens").alias("mean_tokens"), F.sum("tokens").alias("total_tokens"))
+    return m.join(F.broadcast(median(rows, F.col("chars"), "median_chars"))).select("rows", "mean_chars", "median_chars", "min_chars", "max_chars", "mean_tokens", "total_tokens")  # one row
 
 
 def vocabulary(df: DataFrame, column: str) -> DataFrame:

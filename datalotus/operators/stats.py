@@ -7,7 +7,7 @@ distributions evaluated on the driver for single numbers.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,16 +65,52 @@ def kurtosis(c: Column) -> Column:
     return F.when((n > 3) & (F.stddev_pop(c) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(c) + 6))
 
 
+SLICES = 64
+
+
+def quantiles(df: DataFrame, values: Mapping[str, Column], at: Sequence[float]) -> DataFrame:
+    """column, q: exact, interpolated quantiles of many columns; a column without
+    values has no row.
+
+    F.percentile brings every task's values to one task. Here values are counted by
+    one shuffle and cut into SLICES ranges; only the ranges that hold a wanted rank
+    are sorted, each in a task of its own. Where the cuts lie doesn't change the result.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), v.cast("double").alias("v")) for i, v in enumerate(values.values())])
+    counts = df.select(F.explode(cells).alias("x")).select("x.i", "x.v").where("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    bounds = counts.groupBy("i").agg(F.percentile_approx("v", [k / SLICES for k in range(1, SLICES)], 1_000).alias("b"), F.sum("n").alias("total"))
+    sliced = counts.join(F.broadcast(bounds), "i").withColumn("s", F.size(F.filter("b", lambda b: b < F.col("v"))))  # one row a column
+    earlier = Window.partitionBy("i").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    per = sliced.groupBy("i", "s").agg(F.sum("n").alias("m"), F.max("total").alias("t")).withColumn("before", F.coalesce(F.sum("m").over(earlier), F.lit(0)))
+    place = lambda p, total: F.lit(float(p)) * (F.col(total) - 1)
+    held = [(F.floor(place(p, "t")) < F.col("before") + F.col("m")) & (F.ceil(place(p, "t")) >= F.col("before")) for p in at]
+    wanted = per.where(F.exists(F.array(*held), lambda x: x)).select("i", "s", "before")
+    inside = Window.partitionBy("i", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sliced.join(F.broadcast(wanted), ["i", "s"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))  # two slices a quantile at most
+    value = lambda rank: F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("v")))
+    ends = [value(f(place(p, "total"))).alias(f"{x}{k}") for k, p in enumerate(at) for x, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = rows.groupBy("i").agg(F.max("total").alias("total"), *ends)
+    lo, hi = (lambda k: F.col(f"lo{k}")), (lambda k: F.col(f"hi{k}"))
+    q = [F.when(lo(k) == hi(k), lo(k)).otherwise((F.floor(place(p, "total")) + 1 - place(p, "total")) * lo(k) + (place(p, "total") - F.floor(place(p, "total"))) * hi(k)) for k, p in enumerate(at)]
+    return found.select(F.element_at(F.array(*[F.lit(c) for c in values]), F.col("i") + 1).alias("column"), F.array(*q).alias("q"))
+
+
+def median(df: DataFrame, v: Column, name: str) -> DataFrame:
+    """One row with the exact median as `name`; null without values."""
+    q = quantiles(df, {name: v}, [0.5])
+    return q.agg(F.max(F.col("q")[0]).alias(name))
+
+
 def basic_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per numeric column; exact quantiles."""
-    rows = []
+    rows, values = [], {}
     for c in columns:
         v = F.col(f"`{c}`").cast("double")
-        v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        rows.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), (F.count(F.lit(1)) - F.count(v)).alias("missing"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(v).alias("max"), skewness(v).alias("skew"), kurtosis(v).alias("kurtosis")))
+        values[c] = v = F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
+        rows.append(F.struct(F.lit(c).alias("column"), F.count(v).alias("count"), (F.count(F.lit(1)) - F.count(v)).alias("missing"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), skewness(v).alias("skew"), kurtosis(v).alias("kurtosis")))
     wide = df.agg(F.array(*rows).alias("all")).select(F.inline("all"))
-    return wide.join(distinct_counts(df, columns), "column").select("column", "count", "missing", "distinct", "mean", "std", "min", "q1", "median", "q3", "max", "skew", "kurtosis")
+    q = quantiles(df, values, [0.25, 0.5, 0.75]).select("column", *[F.col("q")[i].alias(c) for i, c in enumerate(("q1", "median", "q3"))])
+    return wide.join(q, "column", "left").join(distinct_counts(df, columns), "column").select("column", "count", "missing", "distinct", "mean", "std", "min", "q1", "median", "q3", "max", "skew", "kurtosis")
 
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
@@ -87,9 +123,6 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(F.array(*pairs).alias("all")).select(F.inline("all"))
 
 
-SLICES = 64
-
-
 def running_totals(rows: DataFrame, order: str, sums: Sequence[str]) -> DataFrame:
     """`rows` (distinct in the numeric `order`) with `<name>_upto`, the totals of
     `sums` up to each row, and `<name>_all`, without a one-task sort.
@@ -221,8 +254,10 @@ def categorical_drift(a: DataFrame, b: DataFrame, column: str, k: int = 10) -> D
 def numeric_diff(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     """mean, median, population std, min, max, count of both sides, to 4 places."""
     def side(d: DataFrame, tag: str) -> DataFrame:
-        rows = [F.struct(F.lit(c).alias("column"), *[F.round(f(F.col(f"`{c}`")).cast("double"), 4).alias(f"{n}_{tag}") for n, f in (("mean", F.avg), ("median", F.median), ("std", F.stddev_pop), ("min", F.min), ("max", F.max), ("count", F.count))]) for c in columns]
-        return d.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+        rows = [F.struct(F.lit(c).alias("column"), *[F.round(f(F.col(f"`{c}`")).cast("double"), 4).alias(f"{n}_{tag}") for n, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max), ("count", F.count))]) for c in columns]
+        s = d.agg(F.array(*rows).alias("all")).select(F.inline("all"))
+        q = quantiles(d, {c: F.col(f"`{c}`") for c in columns}, [0.5]).select("column", F.round(F.col("q")[0], 4).alias(f"median_{tag}"))
+        return s.join(q, "column", "left").select("column", f"mean_{tag}", f"median_{tag}", *s.columns[2:])
 
     return side(a, "a").join(side(b, "b"), "column")
 

@@ -67,6 +67,25 @@ def test_tfidf_counts_words_in_the_row(spark):
     assert "doc#" not in plan  # nothing is grouped by document
 
 
+def test_quantiles_by_ranges(spark):
+    r = np.random.default_rng(5)
+    columns = {"few": r.integers(0, 3, 5000).astype(float), "many": r.normal(0, 1e6, 5000), "one": np.full(5000, 7.5), "holes": np.where(r.random(5000) < 0.999, np.nan, 1.0) + np.arange(5000)}
+    rows = [tuple(None if np.isnan(x) else float(x) for x in row) + (None,) for row in zip(*columns.values())]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in [*columns, "empty"]))
+    at = [0.0, 0.013, 0.25, 0.5, 0.75, 0.9999, 1.0]
+    found = {x.column: x.q for x in stats.quantiles(df, {c: F.col(c) for c in df.columns}, at).collect()}
+    assert set(found) == set(columns)
+    for c, x in columns.items():
+        assert found[c] == pytest.approx(np.quantile(x[~np.isnan(x)], at))
+    plain = {c: df.agg(F.percentile(c, F.array(*[F.lit(p) for p in at]))).first()[0] for c in columns}
+    assert found == plain
+    assert stats.median(df, F.col("empty"), "m").first().m is None
+    assert [tuple(x) for x in stats.basic_stats(df, ["empty", "one"]).select("column", "q1", "median", "q3").orderBy("column").collect()] == [("empty", None, None, None), ("one", 7.5, 7.5, 7.5)]
+    for result in (stats.basic_stats(df, ["many"]), anomaly.outliers_iqr(df, "many"), anomaly.outliers_mad(df, "many")):
+        plan = result._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and "median(" not in plan  # no task gets all values
+
+
 def test_citizen_id_check_digit(spark):
     base = "110170020703"
     check = (11 - sum((13 - i) * int(c) for i, c in enumerate(base)) % 11) % 10
