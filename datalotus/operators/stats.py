@@ -43,14 +43,36 @@ def safe_corr(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.when((F.stddev_pop(x) > 1e-12) & (F.stddev_pop(y) > 1e-12), spread))
 
 
+#: Bytes of different cells that one task may hold, and those of an entry beside its text.
+HELD, ENTRY = 256 << 20, 80
+
+
+def spread(texts: DataFrame) -> int:
+    """In how many parts the rows' different cells take at most HELD bytes a part
+    (estimated: the number decides on memory only, never on results)."""
+    cells = [F.struct(F.approx_count_distinct(c).alias("d"), F.coalesce(F.max(F.octet_length(c)), F.lit(0)).alias("w")) for c in texts.columns]
+    r = texts.agg(F.count(F.lit(1)).alias("rows"), F.array(*cells).alias("cells")).first()
+    parts = 1
+    while parts < r.rows and sum(min(1.1 * x.d, r.rows / parts) * (ENTRY + x.w) for x in r.cells) > HELD:
+        parts += 1 + parts // 4
+    return parts
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, distinct of many columns by one shuffle of their distinct values
-    (several count_distinct in one aggregate would copy every row for each)."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
-    found = df.select(F.explode(cells).alias("x")).select("x.column", "x.value").where("value is not null").distinct()
-    seen = found.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
-    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    return names.join(seen, "column", "left").select("column", F.coalesce("distinct", F.lit(0)).alias("distinct"))
+    (several count_distinct in one aggregate would copy every row for each).
+
+    A task's first aggregate holds all that differs in its rows. Where that may be
+    too much, rows are dealt by their hash first (equal rows meet, and take one entry).
+    """
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    parts = spread(texts) if columns else 1
+    dealt = texts.repartition(parts, *texts.columns) if parts > 1 else texts
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("value")) for i, c in enumerate(texts.columns)])
+    found = dealt.select(F.explode(cells).alias("x")).select("x.i", "x.value").where("value is not null").distinct()
+    seen = found.groupBy("i").agg(F.count(F.lit(1)).alias("distinct"))
+    names = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "i int, column string")
+    return names.join(seen, "i", "left").select("column", F.coalesce("distinct", F.lit(0)).alias("distinct"))
 
 
 def skewness(c: Column) -> Column:

@@ -86,6 +86,19 @@ def test_quantiles_by_ranges(spark):
         assert "percentile(" not in plan and "median(" not in plan  # no task gets all values
 
 
+def test_distinct_counts_hold_few_cells_in_a_task(spark, monkeypatch):
+    rows = [(i, f"name {i % 700}", None, "x" if i % 3 else None, float(i % 7)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "a long, b string, c string, d string, `e f` double").coalesce(1)
+    want = {"a": 4000, "b": 700, "c": 0, "d": 1, "e f": 7}
+    counts = lambda: {r.column: r.distinct for r in stats.distinct_counts(df, df.columns).collect()}
+    assert counts() == want
+    assert "RepartitionByExpression" not in stats.distinct_counts(df, df.columns)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(stats, "HELD", 100_000)  # a few hundred rows
+    assert "RepartitionByExpression" in stats.distinct_counts(df, df.columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert counts() == want
+    assert stats.distinct_counts(df.where("a < 0"), df.columns).where("distinct > 0").isEmpty()
+
+
 def test_citizen_id_check_digit(spark):
     base = "110170020703"
     check = (11 - sum((13 - i) * int(c) for i, c in enumerate(base)) % 11) % 10
